@@ -278,14 +278,20 @@ def detail_html(cat: DataFrame) -> DataFrame:
     contact = F.array(F.struct(
         F.array(F.struct(F.col("phone").alias("phoneNumber"))).alias("phone"),
         F.col("line_id").alias("lineId"), F.col("whatsapp").alias("whatsApp"), F.col("email").alias("email")))
+    def pick(n: int, *options) -> Column:
+        out = F.lit(None)
+        for r, v in enumerate(options):
+            if v is not None:
+                out = F.when(F.col("id") % n == r, F.lit(v)).otherwise(out)
+        return out
+
     fee = F.struct(
-        F.when(F.col("id") % 4 == 0, F.struct(F.lit("CALL").alias("type"), F.lit(None).cast("int").alias("month"), F.lit(None).cast("int").alias("amount")))
-        .when(F.col("id") % 4 == 1, F.struct(F.lit("MONTH"), F.lit(2), F.lit(None).cast("int")))
-        .when(F.col("id") % 4 == 2, F.struct(F.lit("AMOUNT"), F.lit(None).cast("int"), F.lit(5000))).alias("deposit"),
+        F.struct(
+            pick(4, "CALL", "MONTH", "AMOUNT").alias("type"), pick(4, None, 2).alias("month"),
+            pick(4, None, None, 5000).alias("amount")).alias("deposit"),
         F.struct(F.lit("MONTH").alias("type"), (F.col("id") % 3 + 1).alias("month")).alias("advancePayment"),
-        F.when(F.col("id") % 3 == 0, F.struct(F.lit("CALL").alias("type"), F.lit(None).cast("int").alias("unitPrice")))
-        .when(F.col("id") % 3 == 1, F.struct(F.lit("AMOUNT"), F.lit(8)))
-        .otherwise(F.struct(F.lit("GOVERNMENT_METER"), F.lit(None).cast("int"))).alias("electric"),
+        F.struct(
+            pick(3, "CALL", "AMOUNT", "GOVERNMENT_METER").alias("type"), pick(3, None, 8).alias("unitPrice")).alias("electric"),
         F.struct(F.lit("PER_PERSON").alias("type"), F.lit(100).alias("perPersonPrice")).alias("water"),
         F.struct(F.lit("INCLUDED").alias("type")).alias("service"),
     )

@@ -1,0 +1,100 @@
+"""W: window-shaped logic."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from lodgetrail import adapters, dims
+from lodgetrail.catalog.registry import query
+from lodgetrail.catalog.tracking import FOLDED, first_cards
+from lodgetrail.catalog.twins import FIRSTS, IMG, STEPS
+from lodgetrail.operators import accounts, images, limits, observe, ordered
+
+
+@query("W1_first_occurrence", f"WITH {FIRSTS} SELECT scan_no, slug, event_id, price, page_url FROM firsts")
+def w1(spark, sf):
+    return first_cards(spark, sf).select("scan_no", "slug", "event_id", "price", "page_url")
+
+
+@query("W2_position_append", f"""
+WITH {IMG},
+stored AS (SELECT listing_id, image_url, min(position) AS position FROM img WHERE position <= 3 GROUP BY ALL),
+offered AS (SELECT listing_id, image_url, min(ordinal) AS ordinal FROM (
+    SELECT listing_id, image_url, row_number() OVER (PARTITION BY listing_id ORDER BY image_id) AS ordinal FROM img) GROUP BY ALL),
+fresh AS (SELECT * FROM offered ANTI JOIN stored USING (listing_id, image_url)),
+last AS (SELECT listing_id, max(position) AS p FROM stored GROUP BY listing_id)
+SELECT listing_id::VARCHAR AS slug, image_url,
+  COALESCE(p, -1) + row_number() OVER (PARTITION BY listing_id ORDER BY ordinal) AS position
+FROM fresh LEFT JOIN last USING (listing_id)
+""")
+def w2(spark, sf):
+    img = adapters.images(spark, sf).withColumn("slug", F.col("listing_id").cast("string"))
+    stored = img.filter("position <= 3").groupBy("slug", "image_url").agg(F.min("position").alias("position"))
+    # The order table bounds a listing's lines, so its scraped list is one small array.
+    batch = img.groupBy("slug").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("image_id", "image_url"))), lambda x: x["image_url"]).alias("images"))
+    batch = batch.withColumns({"thumbnail_url": F.lit(None).cast("string"), "was_known": F.lit(True)})
+    return images.new_image_rows(batch, stored).select("slug", "image_url", "position")
+
+
+@query("W3_before_after_price", f"WITH {STEPS} SELECT slug, scan_no, price, old_price, old_scan_no FROM classified")
+def w3(spark, sf):
+    return observe.price_steps(first_cards(spark, sf)).select("slug", "scan_no", "price", "old_price", "old_scan_no")
+
+
+@query("W4_miss_streak", f"WITH {STEPS} SELECT slug, scan_no, missed_scans FROM classified WHERE missed_scans > 0")
+def w4(spark, sf):
+    steps = observe.classify_steps(observe.price_steps(first_cards(spark, sf)))
+    return steps.filter("missed_scans > 0").select("slug", "scan_no", "missed_scans")
+
+
+@query("W5_latest_subscription", f"""
+WITH {FOLDED}
+SELECT customer_id, subscription_id, status FROM folded
+QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY created_at DESC, subscription_id DESC) = 1
+""")
+def w5(spark, sf):
+    folded = accounts.fold_subscriptions(adapters.billing_events(spark, sf))
+    return accounts.latest_subscriptions(folded).select("customer_id", "subscription_id", "status")
+
+
+@query("W6_sliding_count", """
+SELECT event_id AS request_id, count(*) OVER w60 AS in_60_seconds, count(*) OVER w6h AS in_6_hours FROM events
+WINDOW w60 AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECOND PRECEDING AND CURRENT ROW),
+  w6h AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 6 HOUR PRECEDING AND CURRENT ROW)
+""")
+def w6(spark, sf):
+    short = ordered.sliding_count(adapters.requests(spark, sf), ["client"], "ts", dims.WINDOW_SECONDS, "in_60_seconds")
+    both = ordered.sliding_count(short, ["client"], "ts", 6 * 3600, "in_6_hours")
+    return both.select("request_id", "in_60_seconds", "in_6_hours")
+
+
+@query("W7_login_failure_window", """
+WITH r AS (SELECT event_id, user_id, ts, (event_type = 'error')::INT AS failed, (event_type = 'signup')::INT AS succeeded FROM events),
+islands AS (SELECT *, sum(succeeded) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM r),
+counted AS (SELECT event_id, sum(failed) OVER (PARTITION BY user_id, island ORDER BY ts RANGE BETWEEN INTERVAL 48 HOUR PRECEDING AND CURRENT ROW)::BIGINT AS recent_failures FROM islands)
+SELECT event_id AS request_id, recent_failures, recent_failures >= 3 AS rate_limited FROM counted
+""")
+def w7(spark, sf):
+    failed, succeeded = F.col("event_type") == "error", F.col("event_type") == "signup"
+    window = limits.failure_window(
+        adapters.requests(spark, sf), failed, succeeded, window_seconds=48 * 3600, max_failures=3)
+    return window.select("request_id", "recent_failures", "rate_limited")
+
+
+@query("W8_first_image_rank", f"""
+WITH {IMG} SELECT listing_id, image_id, image_url FROM img WHERE excluded IS NOT TRUE
+QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY position, image_id) = 1
+""")
+def w8(spark, sf):
+    # Only first rows survive, so Spark limits each group before the shuffle (WindowGroupLimit).
+    w = Window.partitionBy("listing_id").orderBy("position", "image_id")
+    ranked = images.shown_images(adapters.images(spark, sf)).withColumn("_rank", F.row_number().over(w))
+    return ranked.filter("_rank = 1").select("listing_id", "image_id", "image_url")
+
+
+@query("T4_quota_batch_form")
+def quota(spark, sf):
+    admitted = limits.admit_requests(adapters.requests(spark, sf), limit=3, window_seconds=24 * 3600)
+    return admitted.select("client", "request_id", "admitted", "retry_after")

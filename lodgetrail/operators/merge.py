@@ -7,6 +7,8 @@ decision frame, which the caller stages before writing its parts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -184,13 +186,16 @@ def classify(decision: DataFrame) -> DataFrame:
 def decide(
     state: DataFrame, batch: DataFrame, scan_time: Column, complete: bool = True,
     threshold: int = dims.REMOVED_AFTER_MISSING_SCANS, minimum: float = dims.MIN_SCAN_COVERAGE,
+    materialise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """The decision frame of a scan as one lazy plan.
+    """The decision frame of a scan.
 
-    The coverage test is a scalar subquery over the same join. A caller that
-    stages the upserts (see ``plans.scan``) reads it from there instead.
+    The coverage test is a scalar subquery over the same join. ``materialise``
+    (writing the upserts as a table) spares joining twice.
     """
     upserted = upsert(state, batch, scan_time)
+    if materialise is not None:
+        upserted = materialise(upserted)
     trusted = F.lit(False)
     if complete:
         verdict = coverage(upserted).select(covers_enough(F.col("active"), F.col("seen"), minimum))

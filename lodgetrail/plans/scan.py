@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodgetrail import dims, schemas
 from lodgetrail.functions import clock
@@ -139,24 +140,22 @@ class TrackingStore:
                 f"LOCATION '{self.root}/state/v={version}'")
         return self.spark.table(name)
 
-    def _appended(self, table: str, schema, up_to: int) -> DataFrame:
-        if up_to == 0:
-            return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.schema(schema.add("scan", "int") if "scan" not in schema.names else schema)
-        rows = stored.parquet(f"{self.root}/{table}")
-        # Rows of a scan that never committed are beyond the manifest's version.
-        return rows.filter(F.col("scan") <= up_to).drop("scan")
+    def _appended(self, table: str, fields: list[T.StructField]) -> DataFrame:
+        version = self.version()
+        wanted = T.StructType(fields)
+        if version == 0:
+            return self.spark.createDataFrame([], wanted)
+        schema = T.StructType([*fields, T.StructField("scan", T.LongType())])
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        # Rows of a scan that never committed are beyond the version in force.
+        return rows.filter(F.col("scan") <= version).select(*wanted.names)
 
     def images(self) -> DataFrame:
-        from copy import deepcopy
-
-        return self._appended("images", deepcopy(schemas.IMAGE_SCHEMA), self.version())
+        return self._appended("images", schemas.IMAGE_SCHEMA.fields)
 
     def history(self) -> DataFrame:
-        from copy import deepcopy
-
-        schema = deepcopy(schemas.HISTORY_SCHEMA).add("change_date", "date")
-        return self._appended("history", schema, self.version())
+        dated = [*schemas.HISTORY_SCHEMA.fields, T.StructField("change_date", T.DateType())]
+        return self._appended("history", dated)
 
     # -- the scan ------------------------------------------------------------
 
@@ -187,6 +186,23 @@ class TrackingStore:
             **entry, "version": version + 1, "status": "completed", "removals_checked": checked, **counters})
         return ScanOutcome(version + 1, "completed", counters, checked)
 
+    def seed(self, state: DataFrame) -> None:
+        """Take over listings tracked elsewhere as the first version."""
+        if self.version():
+            raise ValueError("the store already holds listings")
+        self._write_state(state, 1)
+        for table, schema in (("images", schemas.IMAGE_SCHEMA), ("history", schemas.HISTORY_SCHEMA)):
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{table}/scan=1")
+        self._write_manifest({"scan_id": 1, "version": 1, "status": "completed"})
+
+    def _write_state(self, state: DataFrame, version: int) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(version)}")
+        (
+            state.repartition(self.buckets, "slug")
+            .write.mode("overwrite").format("parquet").bucketBy(self.buckets, "slug").sortBy("slug")
+            .option("path", f"{self.root}/state/v={version}").saveAsTable(self._table_name(version))
+        )
+
     def _write_version(
         self, scan_id: int, batch: DataFrame, at: Column, complete: bool, rejected_seen: int,
         threshold: int, minimum: float,
@@ -198,12 +214,7 @@ class TrackingStore:
         trusted = bool(complete and (seen.active == 0 or seen.seen >= seen.active * minimum))
         decision = merge.classify(merge.count_missing(upserted, F.lit(trusted), threshold))
 
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(scan_id)}")
-        (
-            merge.new_state(decision).repartition(self.buckets, "slug")
-            .write.mode("overwrite").format("parquet").bucketBy(self.buckets, "slug").sortBy("slug")
-            .option("path", f"{self.root}/state/v={scan_id}").saveAsTable(self._table_name(scan_id))
-        )
+        self._write_state(merge.new_state(decision), scan_id)
         applied = upserted.filter("was_applied").select("slug", "images", "thumbnail_url", "was_known")
         image_ops.new_image_rows(applied, self.images()).write.mode("overwrite").parquet(
             f"{self.root}/images/scan={scan_id}")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodgetrail import dims, schemas
 from lodgetrail.functions import geo, text
@@ -161,7 +162,10 @@ def _first_point(document: str) -> tuple[float, float] | None:
     return None
 
 
-@F.pandas_udf("lat double, lon double")
+_POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType())])
+
+
+@F.pandas_udf(_POINT)
 def _ld_point(documents: pd.Series) -> pd.DataFrame:
     points = []
     for docs in documents:

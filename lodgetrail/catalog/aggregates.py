@@ -187,7 +187,7 @@ def a18(spark, sf):
     from lodgetrail.functions.fees import variant_kind
     from lodgetrail.sources import details, pages
 
-    html = adapters.detail_html(adapters.catalogue(spark, sf))
+    html = adapters.landed_details(spark, sf)
     listing = F.try_variant_get(pages.embedded_json(F.col("html")), "$.props.pageProps.listing", "variant")
     read = html.select("url", listing.alias("listing")).filter(variant_kind(F.col("listing"), "$") != "")
     return read.select("url", F.explode(details.room_list(F.col("listing"))).alias("room")).select("url", "room.size_sqm")

@@ -250,7 +250,7 @@ _OWN_CONTACT = "NOT no_json AND (phone IS NOT NULL OR line_id IS NOT NULL OR wha
 
 
 def detail_rows(spark, sf):
-    return details.read_details(adapters.detail_html(cat(spark, sf)), f"{adapters.CDN}/listing_picture")
+    return details.read_details(adapters.landed_details(spark, sf), f"{adapters.CDN}/listing_picture")
 
 
 @query("C18_contact_pick", f"""

@@ -16,7 +16,7 @@ from lodgetrail.sources import details, pages, tables
 
 
 def landed(spark, sf):
-    return adapters.list_pages(adapters.catalogue(spark, sf))
+    return adapters.landed_lists(spark, sf)
 
 
 _PAGES = "p AS (SELECT DISTINCT id // 40 AS page_no FROM cat)"
@@ -131,7 +131,7 @@ SELECT url, CASE WHEN id % 3 <> 0 THEN 'Room ' || (id % 3) ELSE 'Unknown' END AS
   CASE WHEN id % 4 = 1 THEN 'Available' WHEN id % 4 <> 0 THEN 'Not Available' END AS status FROM d WHERE NOT gone AND NOT no_json
 """)
 def s8(spark, sf):
-    html = adapters.detail_html(adapters.catalogue(spark, sf))
+    html = adapters.landed_details(spark, sf)
     listing = F.try_variant_get(pages.embedded_json(F.col("html")), "$.props.pageProps.listing", "variant")
     found = html.select("url", listing.alias("listing")).filter(variant_kind(F.col("listing"), "$") != "")
     return found.select("url", F.inline(details.room_list(F.col("listing")))).select(
@@ -140,9 +140,9 @@ def s8(spark, sf):
 
 @query("S9_amenity_grid", f"WITH {CAT} SELECT url, {joined('amenities')} AS amenities FROM cat")
 def s9(spark, sf):
-    html = adapters.detail_html(adapters.catalogue(spark, sf))
+    html = adapters.landed_details(spark, sf)
     # The page lists categories in rule order, which is the catalogue's own.
-    return html.select("url", F.array_join(details.icon_amenities(F.col("html")), "|").alias("amenities"))
+    return html.select("url", F.array_join(details.icon_amenities(details.amenity_section(F.col("html"))), "|").alias("amenities"))
 
 
 @query("S10_image_list", """
@@ -165,7 +165,7 @@ SELECT url, CASE WHEN id % 2 = 1 OR NOT no_json THEN CASE WHEN latitude BETWEEN
 FROM d WHERE NOT gone
 """)
 def s11(spark, sf):
-    html = adapters.detail_html(adapters.catalogue(spark, sf))
+    html = adapters.landed_details(spark, sf)
     payload = pages.embedded_json(F.col("html"))
     parsed = html.select(
         "url", "html", payload.isNotNull().alias("has_json"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodgetrail import dims
 from lodgetrail.functions.text import (
-    NOT_AFTER_WORD, NOT_BEFORE_WORD, encode_component, strip, text_key,
+    NOT_AFTER_WORD, NOT_BEFORE_WORD, encode_component, let, strip, text_key,
 )
 
 
@@ -99,17 +99,17 @@ def names_a_province(text: Column) -> Column:
 
 def location_parts(address: Column) -> Column:
     """struct(subdistrict, district, province) read off an address line."""
-    province = province_in(address)
-    pattern = F.concat(F.lit(f"(?i){NOT_AFTER_WORD}"), province, F.lit(NOT_BEFORE_WORD))
-    start = F.regexp_instr(address, pattern)
-    before = strip(F.substring(address, F.lit(1), start - 1))
-    words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    return F.struct(
-        F.when(n > 1, F.array_join(F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(1))), " ")).alias("subdistrict"),
-        F.try_element_at(words, F.lit(-1)).alias("district"),
-        province.alias("province"),
-    )
+    def split_at(province: Column) -> Column:
+        pattern = F.concat(F.lit(f"(?i){NOT_AFTER_WORD}"), province, F.lit(NOT_BEFORE_WORD))
+        before = strip(F.substring(address, F.lit(1), F.regexp_instr(address, pattern) - 1))
+        words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
+        return let(words, lambda w: F.struct(
+            F.when(F.size(w) > 1, F.array_join(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), " ")).alias("subdistrict"),
+            F.try_element_at(w, F.lit(-1)).alias("district"),
+            province.alias("province"),
+        ))
+
+    return let(province_in(address), split_at)
 
 
 def map_query(lat: Column, lon: Column) -> Column:

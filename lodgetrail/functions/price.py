@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodgetrail import dims
-from lodgetrail.functions.text import is_blank_or_dash
+from lodgetrail.functions.text import is_blank_or_dash, let
 
 _THAI_DIGITS = "๐๑๒๓๔๕๖๗๘๙"
 
@@ -23,9 +23,12 @@ def _numbers(raw: Column) -> Column:
 
 def parse_price_range(raw: Column) -> Column:
     """struct(min, max) of the first two numbers; one number fills both."""
-    n = _numbers(raw)
-    low = F.get(n, F.lit(0))
-    return F.struct(low.alias("min"), F.coalesce(F.get(n, F.lit(1)), low).alias("max"))
+    def pick(n: Column) -> Column:
+        low = F.get(n, F.lit(0))
+        return F.struct(low.alias("min"), F.coalesce(F.get(n, F.lit(1)), low).alias("max"))
+
+    nothing = F.array().cast("array<bigint>")
+    return let(F.coalesce(_numbers(raw), nothing), pick)
 
 
 def format_price(low: Column, high: Column, suffix: str) -> Column:
@@ -42,9 +45,11 @@ def format_price(low: Column, high: Column, suffix: str) -> Column:
 
 def contract_number(raw: Column) -> Column:
     """A believable contract price: the low end, or the high end if the low is not."""
-    n = F.filter(_numbers(raw), lambda x: x > 0)
-    low, high = F.get(n, F.lit(0)), F.try_element_at(n, F.lit(-1))
-    return F.when(low >= dims.MIN_VALID_PRICE, low).when(high >= dims.MIN_VALID_PRICE, high)
+    def pick(n: Column) -> Column:
+        low, high = F.get(n, F.lit(0)), F.try_element_at(n, F.lit(-1))
+        return F.when(low >= dims.MIN_VALID_PRICE, low).when(high >= dims.MIN_VALID_PRICE, high)
+
+    return let(F.filter(_numbers(raw), lambda x: x > 0), pick)
 
 
 def to_eur(amount: Column, rate: float = dims.EUR_RATE) -> Column:

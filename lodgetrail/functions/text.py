@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,15 @@ NOT_AFTER_WORD = r"(?<![\p{L}\p{N}_])"
 NOT_BEFORE_WORD = r"(?![\p{L}\p{N}_])"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often it is used.
+
+    Filters and pushed-down expressions are not freed of repeated parts by the
+    optimiser; a one-element transform names the part instead.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_BLANKS))
 
@@ -66,15 +77,14 @@ def prefixed(prefix: str, c: Column) -> Column:
 
 def clean_line_id(value: Column) -> Column:
     """A LINE handle, or NULL for placeholders, labels and bare phone numbers."""
-    plus_kept = F.replace(value, F.lit("+"), F.lit("%2B"))
-    decoded = F.coalesce(F.try_url_decode(plus_kept), value)
+    decoded = let(value, lambda v: F.coalesce(F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B"))), v))
     unlabelled = strip(F.regexp_replace(strip(decoded), dims.LINE_ID_LABEL, ""))
-    usable = (
-        (unlabelled != "")
-        & ~F.lower(unlabelled).isin(*dims.LINE_ID_PLACEHOLDERS)
-        & unlabelled.rlike(r"\p{L}")
-    )
-    return F.when(usable, unlabelled)
+
+    def usable(handle: Column) -> Column:
+        known = ~F.lower(handle).isin("", *dims.LINE_ID_PLACEHOLDERS)
+        return F.when(known & handle.rlike(r"\p{L}"), handle)
+
+    return let(unlabelled, usable)
 
 
 def digits(c: Column) -> Column:
@@ -170,8 +180,8 @@ def description_section(html: Column) -> Column:
     return clean_description(F.coalesce(section, fallback))
 
 
-def listing_number(html: Column) -> Column:
-    return first_match(strip_tags(html, " "), r"Listing\s+no\s*:\s*(\d+)")
+def listing_number(visible: Column) -> Column:
+    return first_match(visible, r"Listing\s+no\s*:\s*(\d+)")
 
 
 def contact_description(deposit: Column, electric: Column, amenities: Column) -> Column:

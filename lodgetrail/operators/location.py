@@ -87,10 +87,10 @@ def featured_counts(listings: DataFrame, names=dims.FEATURED_CITIES) -> DataFram
     there is nothing to join; names without a match are kept by the caller.
     """
     places = [geo.city_of(), geo.raw_province(), geo.district_of()]
-    hits = F.filter(
-        dims.literal_array(names),
-        lambda n: contains_key(places[0], n) | contains_key(places[1], n) | contains_key(places[2], n),
-    )
+    hits = F.array_compact(F.array(*[
+        F.when(contains_key(places[0], F.lit(n)) | contains_key(places[1], F.lit(n)) | contains_key(places[2], F.lit(n)), F.lit(n))
+        for n in names
+    ]))
     return (
         listings.filter(F.col("status") != "removed")
         .select(F.explode(hits).alias("featured_city"))

@@ -49,27 +49,38 @@ def room_list(listing: Column) -> Column:
     return F.coalesce(F.transform(rooms, as_struct), F.array().cast(f"array<{schemas.ROOM_TYPE.simpleString()}>"))
 
 
-def icon_amenities(html: Column) -> Column:
-    """Labels of the amenity grid that are not struck through; NULL without a grid.
+_GRID = r"(?is)<h2\b[^>]*>[^<]*Amenities[^<]*</h2>\s*(<div\b.*?)(?=<h2\b|</body>|$)"
+_STYLE = r'<style data-emotion="css ([\w-]+)">\.css-\1\{([^}]*)\}'
+
+
+def amenity_section(html: Column) -> Column:
+    """The page part that holds the amenity grid; NULL without one."""
+    return text.first_match(html, _GRID)
+
+
+def icon_amenities(section: Column) -> Column:
+    """Labels of the amenity grid that are not struck through; NULL without rows.
 
     The grid is cut at every row element, so a label's row is simply the piece
-    it lies in.
+    it lies in. The struck classes travel beside each piece: a lambda would
+    evaluate a captured expression again for every piece.
     """
-    section = text.first_match(html, r"(?is)<h2\b[^>]*>[^<]*Amenities[^<]*</h2>\s*(<div\b.*?)(?=<h2\b|</body>|$)")
-    style = r'<style data-emotion="css ([\w-]+)">\.css-\1\{([^}]*)\}'
     styles = F.arrays_zip(
-        F.regexp_extract_all(section, F.lit(style), F.lit(1)).alias("cls"),
-        F.regexp_extract_all(section, F.lit(style), F.lit(2)).alias("rule"),
+        F.regexp_extract_all(section, F.lit(_STYLE), F.lit(1)).alias("cls"),
+        F.regexp_extract_all(section, F.lit(_STYLE), F.lit(2)).alias("rule"),
     )
     struck = F.transform(F.filter(styles, lambda s: F.contains(s["rule"], F.lit("line-through"))), lambda s: s["cls"])
     pieces = F.split(section, r'<div class="css-(?=[\w-]+">)')
-    rows = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    present = F.filter(rows, lambda p: ~F.array_contains(struck, F.regexp_extract(p, r"^([\w-]+)", 1)))
+    beside = F.arrays_zip(pieces.alias("piece"), F.array_repeat(struck, F.size(pieces)).alias("struck"))
+    # The text before the first row belongs to no row.
+    rows = F.slice(beside, F.lit(2), F.greatest(F.size(beside) - 1, F.lit(0)))
+    present = F.filter(
+        rows, lambda r: ~F.array_contains(r["struck"], F.regexp_extract(r["piece"], r"^([\w-]+)", 1)))
     labels = F.flatten(F.transform(
         present,
-        lambda p: F.regexp_extract_all(p, F.lit(r'<span class="css-[\w-]+">([^<]+)</span>'), F.lit(1)),
+        lambda r: F.regexp_extract_all(r["piece"], F.lit(r'<span class="css-[\w-]+">([^<]+)</span>'), F.lit(1)),
     ))
-    return F.when(F.size(rows) > 0, labels)
+    return F.when(F.size(pieces) > 1, labels)
 
 
 def image_list(html: Column, cdn_marker: str) -> Column:
@@ -89,8 +100,11 @@ def distinct_addresses(urls: Column) -> Column:
     return F.array_distinct(F.transform(urls, lambda u: F.substring_index(u, "?", 1)))
 
 
-def contacts(listing: Column, html: Column) -> dict[str, Column]:
-    """The first contact of the JSON, else explicit links and the LINE label."""
+def contacts(listing: Column, hrefs: Column, visible: Column) -> dict[str, Column]:
+    """The first contact of the JSON, else explicit links and the LINE label.
+
+    ``hrefs`` are the page's link targets and ``visible`` its text.
+    """
     first = F.try_variant_get(listing, "$.contactInformation[0]", "variant")
     own = {
         "phone": variant_text(first, "$.phone[0].phoneNumber"),
@@ -99,13 +113,11 @@ def contacts(listing: Column, html: Column) -> dict[str, Column]:
         "email": F.nullif(variant_text(first, "$.email"), F.lit("")),
     }
     given = F.coalesce(F.nullif(own["phone"], F.lit("")), *[own[k] for k in ("line_id", "whatsapp", "email")]).isNotNull()
-    hrefs = links(html)
     shown_link = F.exists(hrefs, lambda u: F.contains(u, F.lit("wa.me/")))
 
     def first_link(marker: str) -> Column:
         return F.get(F.filter(hrefs, lambda u: F.contains(u, F.lit(marker))), F.lit(0))
 
-    visible = text.strip_tags(html)
     label = text.first_match(visible, r"(?i)Line\s+ID\s*:\s*(@[\w.]+|\w[\w.]+)")
     line_link = text.first_match(first_link("line.me/ti/p/"), r"line\.me/ti/p/(.+)$")
     mail = F.get(F.filter(hrefs, lambda u: u.startswith("mailto:")), F.lit(0))
@@ -205,19 +217,26 @@ def read_details(pages: DataFrame, cdn_marker: str) -> DataFrame:
         variant_kind(F.col("payload"), _LISTING).startswith("OBJECT").alias("has_structured_data"),
         F.try_variant_get("payload", _LISTING, "variant").alias("listing"),
     )
-    located = with_coordinates(parsed)
-    listing, html = F.col("listing"), F.col("html")
+    # Parts several columns read are columns of their own, so each is cut out once.
+    cut = parsed.select(
+        "*",
+        amenity_section(F.col("html")).alias("grid"),
+        text.description_section(F.col("html")).alias("description"),
+        text.strip_tags(F.col("html")).alias("visible"),
+        links(F.col("html")).alias("hrefs"),
+    )
+    located = with_coordinates(cut)
+    listing, html, description = F.col("listing"), F.col("html"), F.col("description")
     gone = F.col("has_json") & ~F.col("has_structured_data")
-    description = text.description_section(html)
     values: dict[str, Column] = {
-        "source_id": text.listing_number(html),
+        "source_id": text.listing_number(F.col("visible")),
         "description": description,
-        "amenities": F.coalesce(icon_amenities(html), derive_amenities(description)),
+        "amenities": F.coalesce(icon_amenities(F.col("grid")), derive_amenities(description)),
         "room_types": room_list(listing),
         "images": image_list(html, cdn_marker),
         "latitude": F.col("latitude"),
         "longitude": F.col("longitude"),
-        **contacts(listing, html),
+        **contacts(listing, F.col("hrefs"), F.col("visible")),
         **fees(listing, html),
     }
     cols = {name: F.when(~gone, c) for name, c in values.items()}

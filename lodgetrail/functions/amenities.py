@@ -6,11 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodgetrail import dims
-from lodgetrail.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD
+from lodgetrail.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, let
 
 
 def _java_pattern(pattern: str) -> str:
-    """Unicode word edges and blanks for a pattern whose \\b sits at an end."""
+    """Unicode word edges and blanks for a pattern whose \\b sits at an end.
+
+    The text is lower-cased, so the pattern is too; case-insensitive matching
+    of Unicode text would cost several times as much.
+    """
+    pattern = pattern.lower()
     if pattern.startswith(r"\b"):
         pattern = NOT_AFTER_WORD + pattern[2:]
     if pattern.endswith(r"\b"):
@@ -19,20 +24,24 @@ def _java_pattern(pattern: str) -> str:
 
 
 def _any_of(patterns) -> str:
-    return "(?iu)" + "|".join(f"(?:{_java_pattern(p)})" for p in patterns)
+    return "|".join(f"(?:{_java_pattern(p)})" for p in patterns)
 
 
 def derive_amenities(text: Column, patterns=None) -> Column:
     """Categories with a positive and no negative mention, in table order."""
     table = dims.AMENITY_PATTERNS if patterns is None else patterns
-    low = F.lower(text)
-    found = []
-    for name, (positives, negatives) in table.items():
-        hit = low.rlike(_any_of(positives))
-        if negatives:
-            hit = hit & ~low.rlike(_any_of(negatives))
-        found.append(F.when(hit, F.lit(name)))
-    return F.array_compact(F.array(*found))
+
+    def found(low: Column) -> Column:
+        names = []
+        for name, (positives, negatives) in table.items():
+            hit = low.rlike(_any_of(positives))
+            if negatives:
+                hit = hit & ~low.rlike(_any_of(negatives))
+            names.append(F.when(hit, F.lit(name)))
+        return F.array_compact(F.array(*names))
+
+    nothing = F.array().cast("array<string>")
+    return F.coalesce(let(F.lower(text), found), nothing)
 
 
 def chips(amenities: Column, order=dims.AMENITY_ORDER, without=("Air Conditioner",)) -> Column:

@@ -136,13 +136,26 @@ def review_counters(reviews: DataFrame) -> DataFrame:
 
 # ---- near duplicates ---------------------------------------------------------
 
-def _block_bounds(blocks: int, bits: int = 64) -> list[tuple[int, int]]:
+# Groups with more distinct hashes than this are matched on longer keys.
+_LARGE_GROUP = 20_000
+
+
+def agreement_masks(distance: int, agree: int, bits: int = 64) -> list[int]:
+    """Masks of every choice of ``agree`` out of ``distance + agree`` bit blocks.
+
+    Hashes at most ``distance`` bits apart differ in at most that many blocks,
+    so they are equal under one of the masks at least. More blocks make longer
+    keys (fewer strangers per key) but more keys per hash.
+    """
+    blocks = distance + agree
     edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    return [(edges[i], edges[i + 1] - edges[i]) for i in range(blocks)]
+    block = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(blocks)]
+    masks = [sum(chosen) for chosen in combinations(block, agree)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _block(value: Column, start: int, width: int) -> Column:
-    return F.shiftrightunsigned(value, start).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+def _mask_array(distance: int, agree: int) -> Column:
+    return F.array(*[F.lit(m).cast("bigint") for m in agreement_masks(distance, agree)])
 
 
 def distinct_hashes(corners: DataFrame, group=("listing_id", "corner")) -> DataFrame:
@@ -151,38 +164,36 @@ def distinct_hashes(corners: DataFrame, group=("listing_id", "corner")) -> DataF
 
 
 def near_links(
-    hashes: DataFrame, distance: int = dims.HASH_DISTANCE_THRESHOLD, group=("listing_id", "corner")
+    hashes: DataFrame, distance: int = dims.HASH_DISTANCE_THRESHOLD, group=("listing_id", "corner"),
+    large_group: int = _LARGE_GROUP,
 ) -> DataFrame:
-    """Pairs (hash, near_hash) of different hash values at most ``distance`` bits apart.
+    """(hash, near_hash) of different hash values at most ``distance`` bits apart, both ways.
 
-    With distance + 2 blocks of bits, hashes that close agree on two blocks at
-    least, so candidates meet on (group, two blocks) instead of on the group.
-    A pair is kept only under the first two blocks it agrees on, which makes
-    it unique without a distinct.
+    Candidates meet on (group, mask, masked hash), never on the group alone:
+    two agreeing blocks for ordinary groups, four for large ones. A pair counts
+    only under the first mask it agrees on, which makes it unique without a
+    distinct. Every close pair is found, whatever the size of the group.
     """
-    bounds = _block_bounds(distance + 2)
-    pairs = list(combinations(range(len(bounds)), 2))
-    keys = F.array(*[
-        F.struct(
-            F.lit(i).alias("pair_no"),
-            F.shiftleft(_block(F.col("hash"), *bounds[a]), bounds[b][1]).bitwiseOR(
-                _block(F.col("hash"), *bounds[b])).alias("bits"),
-        )
-        for i, (a, b) in enumerate(pairs)
-    ])
-    keyed = hashes.select(*group, "hash", F.explode(keys).alias("k")).select(*group, "hash", "k.pair_no", "k.bits")
-    other = keyed.withColumnRenamed("hash", "near_hash")
-    diff = F.col("hash").bitwiseXOR(F.col("near_hash"))
-    agrees = [_block(diff, *b) == 0 for b in bounds]
-    first_pair = F.coalesce(*[F.when(agrees[a] & agrees[b], F.lit(i)) for i, (a, b) in enumerate(pairs)])
-    met = keyed.join(other, [*group, "pair_no", "bits"]).filter(
+    sizes = hashes.groupBy(*group).agg((F.count(F.lit(1)) > large_group).alias("large"))
+    short, long = _mask_array(distance, 2), _mask_array(distance, 4)
+
+    def masks() -> Column:
+        return F.when(F.col("large"), long).otherwise(short)
+
+    keys = F.transform(masks(), lambda m: F.struct(m.alias("mask"), F.col("hash").bitwiseAND(m).alias("masked")))
+    keyed = hashes.join(sizes, list(group)).select(*group, "hash", "large", F.explode(keys).alias("k")).select(
+        *group, "hash", "large", "k.mask", "k.masked")
+    other = keyed.select(*group, F.col("hash").alias("near_hash"), "mask", "masked")
+    close = keyed.join(other, [*group, "mask", "masked"]).filter(
         (F.col("hash") < F.col("near_hash"))
-        & (F.bit_count(diff) <= distance)
-        & (F.col("pair_no") == first_pair)
-    )
-    one_way = met.select(*group, "hash", "near_hash")
-    return one_way.unionByName(
-        one_way.select(*group, F.col("near_hash").alias("hash"), F.col("hash").alias("near_hash")))
+        & (F.bit_count(F.col("hash").bitwiseXOR(F.col("near_hash"))) <= distance))
+    first = F.get(
+        F.filter(masks(), lambda m: F.col("hash").bitwiseXOR(F.col("near_hash")).bitwiseAND(m) == 0), F.lit(0))
+    one_way = close.filter(F.col("mask") == first).select(*group, "hash", "near_hash")
+    return one_way.select(*group, F.explode(F.array(
+        F.struct("hash", "near_hash"),
+        F.struct(F.col("near_hash").alias("hash"), F.col("hash").alias("near_hash")),
+    )).alias("p")).select(*group, "p.hash", "p.near_hash")
 
 
 def cluster_sizes(hashes: DataFrame, links: DataFrame, group=("listing_id", "corner")) -> DataFrame:

@@ -15,6 +15,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.maxMetadataStringLength": "1000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),
             "spark.python.sql.dataFrameDebugging.enabled": "false",

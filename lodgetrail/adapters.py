@@ -34,8 +34,8 @@ AMENITY_RULES = (
 )
 
 
-def _remembered(fn):
-    """Keeps the analysed plan (never rows) per session and folder."""
+def remembered(fn):
+    """Keeps what ``fn`` built (plans and table handles, never rows) per session and folder."""
     plans: dict[tuple, DataFrame] = {}
 
     @wraps(fn)
@@ -48,7 +48,7 @@ def _remembered(fn):
     return get
 
 
-@_remembered
+@remembered
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,7 +57,7 @@ def as_of() -> Column:
     return clock.instant(AS_OF)
 
 
-@_remembered
+@remembered
 def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract prices and last update per customer, in one pass over orders."""
     thb = F.floor(F.col("o_totalprice") / 20).cast("bigint")
@@ -68,7 +68,7 @@ def order_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(*aggs)
 
 
-@_remembered
+@remembered
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as listings; see the twin text in ``catalog.twins``."""
     k = F.col("c_custkey")
@@ -141,7 +141,7 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("street", "c1_min", "c1_max", "c3_min", "c3_max", "c6_min", "c6_max")
 
 
-@_remembered
+@remembered
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cards: one scan per 12 hours, price in steps of 100."""
     seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(clock.instant("2024-01-01 00:00:00"))
@@ -154,14 +154,14 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_remembered
+@remembered
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("client"), F.col("event_id").alias("request_id"),
         F.col("ts").cast("timestamp").alias("ts"), "event_type")
 
 
-@_remembered
+@remembered
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     return table(spark, sf_dir, "lineitem").select(
@@ -181,7 +181,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
 
 
-@_remembered
+@remembered
 def corner_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as image corners: ten signs each, six bits per sign."""
     def corner_hash(corner: int) -> Column:
@@ -201,7 +201,7 @@ def corner_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.explode(corners).alias("c")).select("image_id", "listing_id", "c.corner", "c.hash")
 
 
-@_remembered
+@remembered
 def billing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as subscription webhooks; a third of the deliveries are repeats."""
     kind = (
@@ -355,13 +355,13 @@ def detail_html(cat: DataFrame) -> DataFrame:
     return cat.select("url", html.alias("html"))
 
 
-@_remembered
+@remembered
 def landed_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list pages as a crawler would have landed them: a table of pages."""
     return stage(list_pages(catalogue(spark, sf_dir)), "list-pages")
 
 
-@_remembered
+@remembered
 def landed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detail pages as a landed table."""
     return stage(detail_html(catalogue(spark, sf_dir)), "detail-pages")

@@ -14,7 +14,7 @@ from lodgetrail.functions.price import from_eur
 from lodgetrail.operators import location
 from lodgetrail.plans import counters, exports, serving
 from lodgetrail.plans.scan import Site, TrackingStore, run_scan
-from lodgetrail.session import new_work_dir
+from lodgetrail.session import new_work_dir, stage
 
 _FUZZED = f"""
 h AS (SELECT chosen.*, {_HMAC} AS d FROM chosen),
@@ -159,10 +159,12 @@ def q11(spark, sf):
     site = Site(adapters.SITE, adapters.CDN)
     store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
     held = F.col("id") % 10 != 7
-    run_scan(store, site, adapters.list_pages(cat).transform(_without_sevens), "2024-02-01 00:00:00",
-             detail_landing=adapters.detail_html(cat.filter(held)))
-    run_scan(store, site, adapters.list_pages(raised), "2024-02-01 12:00:00",
-             detail_landing=adapters.detail_html(cat.filter(~held)))
+    details = adapters.landed_details(spark, sf)
+    late = details.join(cat.filter(~held).select("url"), "url", "left_semi")
+    early = details.join(cat.filter(held).select("url"), "url", "left_semi")
+    run_scan(store, site, adapters.landed_lists(spark, sf).transform(_without_sevens), "2024-02-01 00:00:00",
+             detail_landing=early)
+    run_scan(store, site, stage(adapters.list_pages(raised), "list-pages"), "2024-02-01 12:00:00", detail_landing=late)
     kinds = store.history().groupBy("change_type").agg(F.count(F.lit(1)).alias("rows"))
     return kinds.unionByName(store.images().agg(F.lit("images").alias("change_type"), F.count(F.lit(1)).alias("rows")))
 

@@ -28,6 +28,7 @@ def to_batch(landed):
     return merge.invalid_rows(schemas.conform(rows, schemas.FULL_SCHEMA))
 
 
+@adapters.remembered
 def ingest_weeks(spark, sf) -> TrackingStore:
     """Weeks of events land one after the other; each is one micro-batch and one scan."""
     week = F.floor((F.unix_seconds("ts") - F.unix_seconds(clock.instant("2024-01-01 00:00:00"))) / _WEEK)

@@ -88,10 +88,14 @@ def admit_requests(
         return F.floor(c / span).cast("bigint")
 
     spread = stretches.withColumn("_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to")))))
-    marked = counted.withColumn("_slot", slot(F.col("_us"))).join(spread, [client, "_slot"], "left")
-    inside = F.col("_us").between(F.col("_from"), F.col("_to"))
-    # A slot may hold several stretches: a row keeps the one it lies in, if any.
-    placed = marked.groupBy(*cols, "_raw", "_us").agg(F.max(F.when(inside, F.col("_from"))).alias("_stretch"))
+    # Stretches of a client do not overlap, so a request lies in one at most.
+    h, s = counted.withColumn("_slot", slot(F.col("_us"))).alias("h"), spread.alias("s")
+    inside = (
+        (F.col(f"h.{client}") == F.col(f"s.{client}")) & (F.col("h._slot") == F.col("s._slot"))
+        & F.col("h._us").between(F.col("s._from"), F.col("s._to"))
+    )
+    placed = h.join(s, inside, "left").select(
+        *[F.col(f"h.{c}").alias(c) for c in cols], F.col("h._us").alias("_us"), F.col("s._from").alias("_stretch"))
 
     free = placed.filter(F.col("_stretch").isNull()).select(
         *cols, F.lit(True).alias("admitted"), F.lit(None).cast("bigint").alias("retry_after"))

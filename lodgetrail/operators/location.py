@@ -108,10 +108,13 @@ def city_facets(listings: DataFrame) -> DataFrame:
     keyed = named.select(
         text_key(F.col("city")).alias("city_key"), text_key(F.col("quarter")).alias("quarter_key"),
         "city", "quarter")
-    rolled = keyed.rollup("city_key", "quarter_key").agg(
+    # Counted once per pair first: the rollup then triples the few groups, not the listings.
+    pairs = keyed.groupBy("city_key", "quarter_key").agg(
+        F.min("city").alias("city"), F.min("quarter").alias("quarter"), F.count(F.lit(1)).alias("n"))
+    rolled = pairs.rollup("city_key", "quarter_key").agg(
         F.grouping_id().alias("_g"),
         F.min("city").alias("city"), F.min("quarter").alias("quarter"),
-        F.count(F.lit(1)).alias("listings"),
+        F.sum("n").alias("listings"),
     )
     level = F.when(F.col("_g") == 0, "quarter").when(F.col("_g") == 1, "city").otherwise("all")
     return rolled.filter((F.col("_g") != 0) | (F.col("quarter_key") != "")).select(

@@ -61,9 +61,11 @@ def _inserted(name: str, policy: str) -> Column:
     return _nonempty(_new(name)) if policy == schemas.NONEMPTY_LIST else _new(name)
 
 
-def upsert(state: DataFrame, batch: DataFrame, scan_time: Column) -> DataFrame:
+def upsert(state: DataFrame, batch: DataFrame, scan_time: Column, carry: tuple[str, ...] = ()) -> DataFrame:
     """Full outer join of state and batch with every policy applied.
 
+    ``carry`` names batch columns to pass through beside the state columns.
+
     ``batch`` has one row per slug. A row with ``row_error`` set counts as seen
     and changes nothing. Besides the state columns the result carries
     ``was_known``, ``was_seen``, ``was_applied``, ``old_status``, ``old_hash``
@@ -107,6 +109,7 @@ def upsert(state: DataFrame, batch: DataFrame, scan_time: Column) -> DataFrame:
         _old("description").alias("old_description"),
         F.struct(*[_old(f).alias(f) for f in schemas.PRICE_FIELDS]).alias("old_prices"),
         *[c.alias(n) for n, c in row.items()],
+        *[_new(c).alias(c) for c in carry],
     )
     return first.withColumns({
         "content_hash": F.when(F.col("was_applied"), content_hash()).otherwise(F.col("old_hash")),

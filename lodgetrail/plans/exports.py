@@ -12,12 +12,16 @@ from lodgetrail import schemas
 
 
 def export_rows(state: DataFrame, monthly_only: bool = False) -> DataFrame:
-    """Active listings by province and price, without tracking columns."""
+    """Active listings by province and price, without tracking columns.
+
+    The slug comes last in the order so that a province of equal prices can
+    still be cut into ranges.
+    """
     rows = state.filter(F.col("status") == "active")
     if monthly_only:
         rows = rows.filter(F.col("has_monthly_contract") == "true")
     return rows.drop(*schemas.EXPORT_DROPPED_COLUMNS).orderBy(
-        F.col("province").asc_nulls_first(), F.col("price_monthly_min").asc_nulls_first())
+        F.col("province").asc_nulls_first(), F.col("price_monthly_min").asc_nulls_first(), F.col("slug"))
 
 
 def flat_columns(df: DataFrame) -> DataFrame:

@@ -13,7 +13,6 @@ from lodgetrail import dims, schemas
 from lodgetrail.functions import clock
 from lodgetrail.operators import collect, images as image_ops, merge
 from lodgetrail.plans.exports import with_change_date
-from lodgetrail.session import stage
 from lodgetrail.sources import details as detail_pages
 from lodgetrail.sources import pages as list_pages
 
@@ -184,6 +183,7 @@ class TrackingStore:
             raise
         self._write_manifest({
             **entry, "version": version + 1, "status": "completed", "removals_checked": checked, **counters})
+        self._delete(f"staging/scan={version + 1}")
         return ScanOutcome(version + 1, "completed", counters, checked)
 
     def seed(self, state: DataFrame) -> None:
@@ -203,13 +203,32 @@ class TrackingStore:
             .option("path", f"{self.root}/state/v={version}").saveAsTable(self._table_name(version))
         )
 
+    def _stage(self, scan_id: int, upserts: DataFrame) -> DataFrame:
+        """The joined scan as a table: it feeds the coverage test and four writes."""
+        path = f"{self.root}/staging/scan={scan_id}"
+        upserts.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(upserts.schema).parquet(path)
+
+    def _delete(self, relative: str) -> None:
+        fs, _ = self._manifest_dir()
+        fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}"), True)
+
+    def drop_old_states(self, keep: int = 2) -> None:
+        """Forget state versions older than the newest ``keep``; history and images stay."""
+        fs, folder = self._manifest_dir()
+        states = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
+        if not fs.exists(states):
+            return
+        versions = [int(f.getPath().getName().removeprefix("v=")) for f in fs.listStatus(states)]
+        for v in (v for v in versions if v <= self.version() - keep):
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(v)}")
+            self._delete(f"state/v={v}")
+
     def _write_version(
         self, scan_id: int, batch: DataFrame, at: Column, complete: bool, rejected_seen: int,
         threshold: int, minimum: float,
     ) -> tuple[dict, bool]:
-        carried = batch.select("slug", "images", "thumbnail_url")
-        upserted = stage(
-            merge.upsert(self.state(), batch, at).join(carried, "slug", "left"), "upserts")
+        upserted = self._stage(scan_id, merge.upsert(self.state(), batch, at, carry=("images", "thumbnail_url")))
         seen = merge.coverage(upserted, F.lit(rejected_seen)).first()
         trusted = bool(complete and (seen.active == 0 or seen.seen >= seen.active * minimum))
         decision = merge.classify(merge.count_missing(upserted, F.lit(trusted), threshold))
@@ -230,6 +249,5 @@ def run_scan(
 ) -> ScanOutcome | None:
     """Extract, collect, attach details, merge. A restricted scan never counts misses."""
     raw = collect_listings(list_landing, site, location_landing, monthly_only)
-    batch = stage(full_batch(raw, detail_landing, site), "batch")
     return store.apply_scan(
-        batch, scan_time, complete=not (monthly_only or restricted), batch_key=batch_key)
+        full_batch(raw, detail_landing, site), scan_time, complete=not (monthly_only or restricted), batch_key=batch_key)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,19 +15,23 @@ from lodgetrail.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, let
 def _java_pattern(pattern: str) -> str:
     """Unicode word edges and blanks for a pattern whose \\b sits at an end.
 
-    The text is lower-cased, so the pattern is too; case-insensitive matching
-    of Unicode text would cost several times as much.
+    The text is lower-cased, so the pattern is too: matching Unicode text
+    without case costs several times as much. The left edge of a plain word is
+    tested after the word, so most places fail on their first letter.
     """
     pattern = pattern.lower()
-    if pattern.startswith(r"\b"):
-        pattern = NOT_AFTER_WORD + pattern[2:]
-    if pattern.endswith(r"\b"):
-        pattern = pattern[:-2] + NOT_BEFORE_WORD
-    return pattern.replace(r"[\s-]", r"[\s\p{Z}-]").replace(r"\s*", r"[\s\p{Z}]*")
+    left, right = pattern.startswith(r"\b"), pattern.endswith(r"\b")
+    body = pattern[2 if left else 0:-2 if right else None]
+    end = NOT_BEFORE_WORD if right else ""
+    blanks = body.replace(r"[\s-]", r"[\s\p{Z}-]").replace(r"\s*", r"[\s\p{Z}]*")
+    if left and re.fullmatch("[a-z]+", body):
+        return f"{body}{end}(?<![\\p{{L}}\\p{{N}}_]{body})"
+    return f"{NOT_AFTER_WORD if left else ''}(?:{blanks}){end}"
 
 
-def _any_of(patterns) -> str:
-    return "|".join(f"(?:{_java_pattern(p)})" for p in patterns)
+def _any_of(text: Column, patterns) -> Column:
+    """One search per pattern: alternatives in one pattern are tried at every place."""
+    return reduce(lambda a, b: a | b, [text.rlike(_java_pattern(p)) for p in patterns])
 
 
 def derive_amenities(text: Column, patterns=None) -> Column:
@@ -34,9 +41,9 @@ def derive_amenities(text: Column, patterns=None) -> Column:
     def found(low: Column) -> Column:
         names = []
         for name, (positives, negatives) in table.items():
-            hit = low.rlike(_any_of(positives))
+            hit = _any_of(low, positives)
             if negatives:
-                hit = hit & ~low.rlike(_any_of(negatives))
+                hit = hit & ~_any_of(low, negatives)
             names.append(F.when(hit, F.lit(name)))
         return F.array_compact(F.array(*names))
 

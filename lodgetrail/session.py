@@ -18,6 +18,8 @@ PLAN_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join key even where that costs the next step a shuffle.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Sessions merge inside each task before they are shuffled by client.
+    "spark.sql.sessionWindow.merge.sessions.in.local.partition": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -60,17 +60,16 @@ def explode_cards(pages: DataFrame) -> DataFrame:
 
 def _mapping_or_absent(card: Column, path: str) -> Column:
     """An object, or one of the empty values that stand for one."""
-    kind = variant_kind(card, path)
-    empty = variant_text(card, path).isin("", "0", "false") | (F.to_json(F.try_variant_get(card, path, "variant")) == "[]")
-    return kind.isin("", "VOID") | kind.startswith("OBJECT") | F.coalesce(empty, F.lit(False))
+    empty = F.to_json(F.try_variant_get(card, path, "variant")).isin('""', "0", "false", "[]")
+    return variant_kind(card, path).rlike("^(OBJECT|VOID|$)") | F.coalesce(empty, F.lit(False))
 
 
 def _text_or_absent(card: Column, path: str) -> Column:
-    return variant_kind(card, path).isin("", "VOID", "STRING")
+    return variant_kind(card, path).rlike("^(STRING|VOID)?$")
 
 
 def _count_or_absent(card: Column, path: str) -> Column:
-    return variant_kind(card, path).isin("", "VOID", "BIGINT")
+    return variant_kind(card, path).rlike("^(BIGINT|VOID)?$")
 
 
 _TERMS = {"contract_monthly": "oneMonth", "contract_3_month": "threeMonth", "contract_6_month": "sixMonth"}

@@ -182,11 +182,9 @@ def s12(spark, sf):
 
 @query("S13_coordinate_cache", f"WITH {CACHES} SELECT place_key, round(lat, 6) AS lat, lon FROM acache")
 def s13(spark, sf):
-    # The cache as JSON objects (one per page of keys), read back as rows.
-    points = address_cache(spark, sf)
-    part = F.pmod(F.hash("place_key"), F.lit(64))
-    objects = points.groupBy(part.alias("part")).agg(
-        F.to_json(F.map_from_entries(F.collect_list(F.struct("place_key", F.struct("lat", "lon"))))).alias("document"))
+    # The cache as JSON objects, one per point, read back as rows.
+    objects = address_cache(spark, sf).select(
+        F.to_json(F.create_map("place_key", F.struct("lat", "lon"))).alias("document"))
     return tables.explode_points(objects, F.col("document")).select("place_key", F.round("lat", 6).alias("lat"), "lon")
 
 

@@ -35,9 +35,8 @@ SELECT slug, scan_no + 3 AS scan_no FROM classified, ends
 WHERE COALESCE(next_scan_no, last_scan + 1) - scan_no - 1 >= 3
 """)
 def m9_scans(spark, sf):
-    firsts = first_cards(spark, sf)
-    last = firsts.agg(F.max("scan_no")).scalar()
-    return observe.removals(firsts, last)
+    last = adapters.observations(spark, sf).agg(F.max("scan_no")).scalar()
+    return observe.removals(first_cards(spark, sf), last)
 
 
 # ---- one scan: the catalogue as stored state, a changed catalogue as batch ---

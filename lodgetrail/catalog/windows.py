@@ -31,11 +31,9 @@ FROM fresh LEFT JOIN last USING (listing_id)
 def w2(spark, sf):
     img = adapters.images(spark, sf).withColumn("slug", F.col("listing_id").cast("string"))
     stored = img.filter("position <= 3").groupBy("slug", "image_url").agg(F.min("position").alias("position"))
-    # The order table bounds a listing's lines, so its scraped list is one small array.
-    batch = img.groupBy("slug").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("image_id", "image_url"))), lambda x: x["image_url"]).alias("images"))
-    batch = batch.withColumns({"thumbnail_url": F.lit(None).cast("string"), "was_known": F.lit(True)})
-    return images.new_image_rows(batch, stored).select("slug", "image_url", "position")
+    # Image ids are the scraped order; they leave wide gaps, hence the wide chunks.
+    offers = img.groupBy("slug", "image_url").agg(F.min("image_id").alias("ordinal"))
+    return images.append_images(offers, stored, ordinals_per_chunk=5_000_000).select("slug", "image_url", "position")
 
 
 @query("W3_before_after_price", f"WITH {STEPS} SELECT slug, scan_no, price, old_price, old_scan_no FROM classified")

@@ -54,9 +54,14 @@ def new_image_rows(batch: DataFrame, images: DataFrame) -> DataFrame:
     offered = F.when(only_thumbnail, F.array("thumbnail_url")).otherwise(F.col("images"))
     urls = batch.select("slug", F.posexplode(offered).alias("ordinal", "image_url"))
     distinct = urls.groupBy("slug", "image_url").agg(F.min("ordinal").cast("bigint").alias("ordinal"))
-    fresh = distinct.join(images.select("slug", "image_url"), ["slug", "image_url"], "left_anti")
+    return append_images(distinct, images)
+
+
+def append_images(offers: DataFrame, images: DataFrame, ordinals_per_chunk: int = _ORDINALS_PER_CHUNK) -> DataFrame:
+    """Offers (slug, image_url, ordinal), each address once, as rows after the stored ones."""
+    fresh = offers.join(images.select("slug", "image_url"), ["slug", "image_url"], "left_anti")
     numbered = row_numbers(
-        fresh, ["slug"], ["ordinal"], F.floor(F.col("ordinal") / _ORDINALS_PER_CHUNK), "_n")
+        fresh, ["slug"], ["ordinal"], F.floor(F.col("ordinal") / ordinals_per_chunk), "_n")
     last = images.groupBy("slug").agg(F.max("position").alias("_last"))
     return numbered.join(last, "slug", "left").select(
         "slug", "image_url",

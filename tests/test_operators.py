@@ -195,3 +195,32 @@ def test_first_claim_wins(spark):
     df = spark.createDataFrame(
         [(1, START + timedelta(seconds=5), "x"), (2, START, "x"), (3, START, "y"), (4, START, "x")], "event_id bigint, ts timestamp, session_id string")
     assert {r.event_id: r.granted for r in accounts.first_claims(df).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_backfill_equals_folding_one_scan_at_a_time(spark):
+    """Classes and removals of the windowed form against a plain replay of the scans."""
+    from lodgetrail.operators import observe
+
+    rng = random.Random(11)
+    seen = [(s, n, rng.choice([100, 100, 200])) for n in range(1, 21) for s in range(12) if rng.random() < (0.25 if s < 4 else 0.7)]
+    obs = spark.createDataFrame(seen, "slug bigint, scan_no bigint, price bigint")
+    classes, removed, state = {}, set(), {}
+    by_scan = defaultdict(dict)
+    for s, n, p in seen:
+        by_scan[n][s] = p
+    for n in range(1, 21):
+        for s, p in by_scan[n].items():
+            old = state.get(s)
+            classes[s, n] = (
+                "NEW" if old is None else "PRICE_CHANGED" if old["price"] != p
+                else "REACTIVATED" if old["removed"] else "UNCHANGED")
+            state[s] = {"price": p, "removed": False, "miss": 0}
+        for s, v in state.items():
+            if s not in by_scan[n] and not v["removed"]:
+                v["miss"] += 1
+                if v["miss"] >= 3:
+                    v["removed"] = True
+                    removed.add((s, n))
+    steps = observe.classify_steps(observe.price_steps(obs)).collect()
+    assert {(r.slug, r.scan_no): r.change_class for r in steps} == classes
+    assert {(r.slug, r.scan_no) for r in observe.removals(obs, F.lit(20)).collect()} == removed and removed

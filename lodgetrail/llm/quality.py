@@ -34,7 +34,7 @@ RULES = (
     Rule(0, "few_words", lambda: F.col("n_words") < 10),
     Rule(1, "repeated_words", lambda: 100 * F.col("n_repeat_words") > 20 * F.col("n_words")),
     Rule(2, "symbols", lambda: 100 * F.col("n_symbols") > 10 * F.col("word_chars")),
-    Rule(3, "repeated_lines", lambda: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    Rule(3, "repeated_lines", lambda: 100 * F.col("n_dup_lines") > 60 * F.col("n_lines")),
     Rule(4, "long_words", lambda: F.col("word_chars") > 20 * F.col("n_words")),
 )
 

@@ -6,13 +6,15 @@ pre-token is split at its certain cuts, the fragments are encoded on their own (
 put one after the other.
 
 Normalisation and pre-tokenisation are the tokenizer file's own. They never look across white space, so they run once
-per distinct run of other characters; a bounded memory of those runs serves the rest of the text.
+per distinct run of other characters; a bounded memory of those runs serves the rest of the text. Runs of Latin-1
+characters, the bulk of European texts, take the same rules as regular expressions.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +25,25 @@ from pyspark.sql import types as T
 
 from lodgetrail.llm.common import small_batches, texts
 
-#: Runs and fragments remembered per task; past it the memory is emptied and filled anew. Results don't depend on it.
-MEMORY = 300_000
+#: Runs, words and fragments remembered per task; past it a memory is emptied and filled anew. Results don't depend on it.
+MEMORY = 500_000
 # Every tokenizer here treats these as white space.
 _SOLID = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+# Latin-1 without controls and spaces, and the file's pattern for lower-cased Latin-1.
+_PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+_FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
+_BYTES = _byte_symbols()
 
 
 class ForcedBoundaryBpe:
@@ -43,19 +60,24 @@ class ForcedBoundaryBpe:
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("dropout") or not drops:
             raise ValueError("a plain BPE file whose pre-tokenizer drops white space is needed")
         library = Tokenizer.from_file(path)
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        patterns = [p["pattern"].get("Regex") for p in kind.get("pretokenizers", []) if p["type"] == "Split"]
+        self._plain = steps == ["NFC", "Replace", "Lowercase"] and patterns == [_FILE_PATTERN]
         self._normal, self._cut = library.normalizer, library.pre_tokenizer
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
-        self.rank = {tuple(p): n for n, p in enumerate(pairs)}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.rank = {(self.vocab[a], self.vocab[b]): (n, self.vocab[a + b]) for n, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         names = {n: t for t, n in self.vocab.items()} | {n: t for t, n in self.special.items()}
         self.names = np.array([names.get(n, "") for n in range(max(names) + 1)], dtype=object)
         # Pairs of neighbouring symbols inside some token; all others are certain cuts.
         self.inside = {pair for token in self.vocab for pair in self._pairs(self._symbols(token))}
-        self._fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self._fragments: dict[tuple[str, ...], list[int]] = {}
+        self._words: dict[str, list[int]] = {}
         self.runs: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _symbols(self, token: str) -> list[str]:
         """The symbols of a vocabulary token; the last one carries the word end, if the token has it."""
@@ -80,68 +102,93 @@ class ForcedBoundaryBpe:
                 out.append([right])
         return out
 
-    def _merge(self, symbols: list[str]) -> tuple[int, ...]:
+    def _merge(self, symbols: list[str]) -> list[int]:
         """Merge by rank, leftmost first, until no pair has a rank."""
-        never = len(self.rank)
-        while len(symbols) > 1:
-            best = min(self._pairs(symbols), key=lambda p: self.rank.get(p, never))
-            if best not in self.rank:
+        rank = self.rank.get
+        ids = [self.vocab[s] for s in symbols if s in self.vocab]
+        while len(ids) > 1:
+            best = None
+            for pair in zip(ids, ids[1:], strict=False):
+                found = rank(pair)
+                if found is not None and (best is None or found < best):
+                    best, chosen = found, pair
+            if best is None:
                 break
-            joined, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                    joined.append(symbols[i] + symbols[i + 1])
+            joined, i, end, (left, right), made = [], 0, len(ids) - 1, chosen, best[1]
+            while i <= end:
+                if i < end and ids[i] == left and ids[i + 1] == right:
+                    joined.append(made)
                     i += 2
                 else:
-                    joined.append(symbols[i])
+                    joined.append(ids[i])
                     i += 1
-            symbols = joined
-        return tuple(self.vocab[s] for s in symbols if s in self.vocab)
+            ids = joined
+        return ids
 
     def _word(self, word: str) -> list[int]:
+        known = self._words.get(word)
+        if known is not None:
+            return known
         ids: list[int] = []
         for fragment in self.fragments(word):
             key = tuple(fragment)
-            known = self._fragments.get(key)
-            if known is None:
-                if len(self._fragments) >= MEMORY:
-                    self._fragments.clear()
-                known = self._fragments[key] = self._merge(fragment)
-            ids.extend(known)
+            part = self._fragments.get(key)
+            if part is None:
+                part = self._merge(fragment)
+                if len(key) < len(word):  # a whole word is remembered as such
+                    if len(self._fragments) >= MEMORY:
+                        self._fragments.clear()
+                    self._fragments[key] = part
+            ids.extend(part)
+        if len(self._words) >= MEMORY:
+            self._words.clear()
+        self._words[word] = ids
         return ids
 
+    def words(self, part: str) -> list[str]:
+        """The pre-tokens of a run, one character per byte."""
+        if self._plain and _PLAIN.fullmatch(part):
+            found = _PLAIN_WORDS.findall(part.lower())
+            return found if part.isascii() else [w if w.isascii() else "".join([_BYTES[b] for b in w.encode()]) for w in found]
+        plain = self._normal.normalize_str(part) if self._normal else part
+        return [w for w, _ in self._cut.pre_tokenize_str(plain)]
+
     def run(self, run: str) -> bytes:
         """Ids of a run without white space, as little-endian 32-bit numbers."""
         ids: list[int] = []
         end = 0
-        for found in [*self._special.finditer(run), None]:
+        for found in [*(self._special.finditer(run) if "<" in run else ()), None]:
             part = run[end : found.start() if found else len(run)]
             if part:
-                plain = self._normal.normalize_str(part) if self._normal else part
-                for word, _ in self._cut.pre_tokenize_str(plain):
+                for word in self.words(part):
                     ids.extend(self._word(word))
             if found:
                 ids.append(self.special[found[0]])
                 end = found.end()
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids of a text, as little-endian 32-bit numbers."""
-        found, memory = _SOLID.findall(text), self.runs
-        try:
-            return b"".join([memory[r] for r in found])
-        except KeyError:
-            if len(memory) >= MEMORY:
-                memory.clear()
-            out = []
-            for r in found:
-                known = memory.get(r)
+        found = _SOLID.findall(text)
+        out = [*map(self.runs.get, found)]
+        if None in out:
+            for i, known in enumerate(out):
                 if known is None:
-                    known = self.run(r)
-                    if len(r) <= 64:
-                        memory[r] = known
-                out.append(known)
-            return b"".join(out)
+                    out[i] = self._remembered(found[i])
+        return b"".join(out)
+
+    def _remembered(self, run: str) -> bytes:
+        """Ids of a run that is not among the recent ones; runs met before stay, the others go in turn."""
+        known = self.runs.get(run)
+        if known is None:
+            known = self._older.get(run)
+            if known is None:
+                known = self.run(run)
+            if len(run) <= 64:
+                if len(self.runs) >= MEMORY // 2:
+                    self._older, self.runs = self.runs, {}
+                self.runs[run] = known
+        return known
 
     def decode(self, ids: np.ndarray) -> str:
         """Token texts joined by a space, which is what a file without a decoder asks for."""

@@ -29,8 +29,8 @@ _SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x
 # Stretches which the byte-level pre-tokenizer cuts independently: all but the last of several spaces, or at most one
 # space and what follows it.
 _STRETCH = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
-#: Stretches remembered per task; past it the memory is emptied and filled anew.
-MEMORY = 300_000
+#: Stretches remembered per worker, in two generations.
+MEMORY = 500_000
 
 
 class StretchEncoder:
@@ -42,6 +42,7 @@ class StretchEncoder:
         self._library = Tokenizer.from_file(path)
         self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._memory: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -50,18 +51,19 @@ class StretchEncoder:
         """Little-endian 32-bit ids of ``text``."""
         if any(s in text for s in self._special):
             return self._ids(text)
-        stretches, memory = _STRETCH.findall(text), self._memory
-        try:
-            return b"".join([memory[s] for s in stretches])
-        except KeyError:
-            if len(memory) >= MEMORY:
-                memory.clear()
-            new = [s for s in dict.fromkeys(stretches) if s not in memory]
+        stretches = _STRETCH.findall(text)
+        out = [*map(self._memory.get, stretches)]
+        if None in out:
+            new = [s for s in dict.fromkeys(s for s, known in zip(stretches, out, strict=True) if known is None)]
+            known = {s: self._older[s] for s in new if s in self._older}
+            new = [s for s in new if s not in known]
             coded = self._library.encode_batch_fast(new, add_special_tokens=False)
-            found = {s: np.array(c.ids, dtype="<u4").tobytes() for s, c in zip(new, coded, strict=True)}
-            out = b"".join([memory.get(s) or found[s] for s in stretches])
-            memory.update((s, b) for s, b in found.items() if len(s) <= 64)
-            return out
+            known |= {s: np.array(c.ids, dtype="<u4").tobytes() for s, c in zip(new, coded, strict=True)}
+            out = [known[s] if b is None else b for s, b in zip(stretches, out, strict=True)]
+            if len(self._memory) >= MEMORY // 2:  # stretches met before stay, the others go in turn
+                self._older, self._memory = self._memory, {}
+            self._memory.update((s, b) for s, b in known.items() if len(s) <= 64)
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)

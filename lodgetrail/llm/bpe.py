@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lodgetrail.llm.common import small_batches, texts
+from lodgetrail.llm.common import byte_symbols, small_batches, texts
 
 #: Runs, words and fragments remembered per task; past it a memory is emptied and filled anew. Results don't depend on it.
 MEMORY = 500_000
@@ -36,14 +36,9 @@ _PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[
 _FILE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _byte_symbols() -> dict[int, str]:
-    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
-
-
-_BYTES = _byte_symbols()
+_BYTES = byte_symbols()
+_ID_BITS = 24
+_ID_MASK, _NEVER = (1 << _ID_BITS) - 1, 1 << 62
 
 
 class ForcedBoundaryBpe:
@@ -67,7 +62,8 @@ class ForcedBoundaryBpe:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.rank = {(self.vocab[a], self.vocab[b]): (n, self.vocab[a + b]) for n, (a, b) in enumerate(pairs)}
+        # Rank and resulting token of a pair, in one number.
+        self.rank = {(self.vocab[a], self.vocab[b]): n << _ID_BITS | self.vocab[a + b] for n, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self._special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         names = {n: t for t, n in self.vocab.items()} | {n: t for t, n in self.special.items()}
@@ -94,35 +90,25 @@ class ForcedBoundaryBpe:
         """A pre-token cut wherever its neighbouring symbols stand side by side in no token."""
         symbols = list(word)
         symbols[-1] += self.suffix
-        out = [[symbols[0]]]
-        for left, right in self._pairs(symbols):
-            if (left, right) in self.inside:
-                out[-1].append(right)
-            else:
-                out.append([right])
-        return out
+        inside = self.inside
+        cuts = [i for i, pair in enumerate(zip(symbols, symbols[1:], strict=False), 1) if pair not in inside]
+        if not cuts:
+            return [symbols]
+        return [symbols[a:b] for a, b in zip([0, *cuts], [*cuts, len(symbols)], strict=True)]
 
     def _merge(self, symbols: list[str]) -> list[int]:
         """Merge by rank, leftmost first, until no pair has a rank."""
-        rank = self.rank.get
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        while len(ids) > 1:
-            best = None
-            for pair in zip(ids, ids[1:], strict=False):
-                found = rank(pair)
-                if found is not None and (best is None or found < best):
-                    best, chosen = found, pair
-            if best is None:
-                break
-            joined, i, end, (left, right), made = [], 0, len(ids) - 1, chosen, best[1]
-            while i <= end:
-                if i < end and ids[i] == left and ids[i + 1] == right:
-                    joined.append(made)
-                    i += 2
-                else:
-                    joined.append(ids[i])
-                    i += 1
-            ids = joined
+        rank, vocab = self.rank.get, self.vocab
+        ids = [vocab[s] for s in symbols if s in vocab]
+        ranks = [rank(pair, _NEVER) for pair in zip(ids, ids[1:], strict=False)]
+        while ranks and (best := min(ranks)) != _NEVER:
+            i = ranks.index(best)
+            ids[i] = best & _ID_MASK
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), _NEVER)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
         return ids
 
     def _word(self, word: str) -> list[int]:

@@ -40,6 +40,13 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
     return [t or "" for t in batch.column(name).to_pylist()]
 
 
+def byte_symbols() -> dict[int, str]:
+    """The character that stands for each byte: itself if it is visible, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(hidden)}
+
+
 def runs(values: list[str], size: int) -> Iterator[slice]:
     """Slices of ``values`` with about ``size`` characters each, one item at least."""
     start, held = 0, 0

@@ -9,7 +9,7 @@ of a length together: by part of the input, then by place in the part.
 
 from __future__ import annotations
 
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,55 +21,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodgetrail.llm.common import small_batches, texts
+from lodgetrail.llm.common import byte_symbols, small_batches, texts
 from lodgetrail.session import stage
 
-# White space by the tokenizer's rule (Unicode's White_Space).
-_SPACE = "\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-# Stretches which the byte-level pre-tokenizer cuts independently: all but the last of several spaces, or at most one
-# space and what follows it.
-_STRETCH = re.compile(f"[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]?[^{_SPACE}]+")
-#: Stretches remembered per worker, in two generations.
-MEMORY = 500_000
+# Fixed values of byte-level tokenizer files: their pre-tokenizer, and the pattern it stands for.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-
-class StretchEncoder:
-    """Ids of whole texts by a byte-level tokenizers file, one library call per distinct stretch."""
+class ByteEncoder:
+    """Ids of whole texts by a byte-level tokenizers file."""
 
     def __init__(self, path: str) -> None:
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
         self._library = Tokenizer.from_file(path)
-        self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
-        self._memory: dict[str, bytes] = {}
-        self._older: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self._library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self._special = [t["content"] for t in spec["added_tokens"]]
+        byte = {c: b for b, c in byte_symbols().items()}
+        vocab = {t: n for t, n in spec["model"]["vocab"].items() if t not in self._special}
+        ranks = {bytes(byte[c] for c in token): n for token, n in vocab.items()}
+        # Where ids follow the order of the merges, they serve as ranks, and a faster encoder of the same rule does.
+        merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+        plain = spec["normalizer"] is None and spec["pre_tokenizer"] == _BYTE_LEVEL and merged == sorted(merged)
+        self._fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}) if plain else None
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of ``text``."""
-        if any(s in text for s in self._special):
-            return self._ids(text)
-        stretches = _STRETCH.findall(text)
-        out = [*map(self._memory.get, stretches)]
-        if None in out:
-            new = [s for s in dict.fromkeys(s for s, known in zip(stretches, out, strict=True) if known is None)]
-            known = {s: self._older[s] for s in new if s in self._older}
-            new = [s for s in new if s not in known]
-            coded = self._library.encode_batch_fast(new, add_special_tokens=False)
-            known |= {s: np.array(c.ids, dtype="<u4").tobytes() for s, c in zip(new, coded, strict=True)}
-            out = [known[s] if b is None else b for s, b in zip(stretches, out, strict=True)]
-            if len(self._memory) >= MEMORY // 2:  # stretches met before stay, the others go in turn
-                self._older, self._memory = self._memory, {}
-            self._memory.update((s, b) for s, b in known.items() if len(s) <= 64)
-        return b"".join(out)
+        if self._fast is None or any(s in text for s in self._special):
+            ids = self._library.encode(text, add_special_tokens=False).ids
+        else:
+            ids = self._fast.encode_ordinary(text)
+        return np.array(ids, dtype="<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> StretchEncoder:
+def load(path: str) -> ByteEncoder:
     """The encoder of a file, made once per worker."""
-    return StretchEncoder(path)
+    return ByteEncoder(path)
 
 
 def pieces(df: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -1,0 +1,50 @@
+import random
+
+from helpers_llm import docs
+
+from lodgetrail.llm import secret_scan
+
+
+def texts(seed=1, n=90):
+    rng = random.Random(seed)
+    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    out = []
+    for i in range(n):
+        words = [rng.choice(["apple", "river", "stone", "cloud", "paper"]) for _ in range(12)]
+        if i % 3 == 0:
+            words[4:4] = ["token", "=", f'"{hexes(40)}"']
+        elif i % 3 == 1:
+            words[4:4] = [rng.choice(["card", "order"]), str(rng.randrange(10**15, 10**16))]
+        else:
+            words[4:4] = ["page", "apple-river-stone-2024"]
+        out.append(" ".join(words))
+    return out
+
+
+def test_secrets_are_found_and_others_left(spark):
+    found = secret_scan.scan(docs(spark, texts())).collect()
+    assert {r.doc_id for r in found if r.secret} == {i for i in range(90) if i % 3 == 0}
+    assert len(found) == 90 and all(0 <= r.score <= 1 for r in found)
+
+
+def test_redaction_takes_effect(spark):
+    table = docs(spark, texts())
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table, secret_scan.scan(table)).collect()}
+    for i, t in enumerate(texts()):
+        if i % 3:
+            assert clean[i] == t
+        else:
+            value = t.split('"')[1]
+            assert clean[i] == t.replace(value, "[SECRET]")
+
+
+def test_edges(spark):
+    odd = [None, "", " \n", "secret=abcdefgh12345678 x", "x" * 40_000 + "1", 'token = "0123456789abcdef0123456789abcdef01234567"', "same 4444333322221111", "same 4444333322221111"]
+    table = docs(spark, odd + texts(2, 30)).withColumnRenamed("lang", "score").withColumnRenamed("n_chars", "value")
+    found = secret_scan.scan(table).collect()
+    assert {r.doc_id for r in found} & {0, 1, 2} == set() and any(r.doc_id == 5 and r.secret for r in found)
+    assert sum(r.doc_id in (6, 7) for r in found) == 2
+    assert secret_scan.scan(docs(spark, [])).count() == 0
+    assert secret_scan.scan(docs(spark, ["nothing here", None])).count() == 0
+    only = secret_scan.scan(docs(spark, ['token = "0123456789abcdef0123456789abcdef01234567"']).drop("source")).collect()
+    assert [r.secret for r in only] == [True]

@@ -183,11 +183,12 @@ CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
 
 @remembered
 def corner_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as image corners: ten signs each, six bits per sign."""
+    """Embeddings as image corners: signs of eight sums of two, six bits per sign."""
     def corner_hash(corner: int) -> Column:
         bits = [
-            F.when(F.get("embedding", F.lit(corner * 10 + i)) > 0, F.lit(63 << (6 * i)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            for i in range(10)
+            F.when(F.get("embedding", F.lit(at)) + F.get("embedding", F.lit(at + 1)) > 0, F.lit(63 << (6 * i)).cast("bigint"))
+            .otherwise(F.lit(0).cast("bigint"))
+            for i, at in enumerate(range(corner * 16, corner * 16 + 16, 2))
         ]
         total = bits[0]
         for b in bits[1:]:
@@ -261,8 +262,18 @@ def card_json(cat: DataFrame) -> Column:
     ))
 
 
+def card_html() -> Column:
+    """A card as a list item: linked name, address, prices, contract, picture."""
+    return F.concat(
+        F.lit('<li><a href="/en/'), "slug", F.lit('">'), "name", F.lit("</a>"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit(f'<img src="{CDN}/c/'), F.col("id"), F.lit('.jpg?w=200">'))).otherwise(""),
+        F.lit("<p>"), F.coalesce("address", F.lit("")), F.lit("</p><p>"),
+        F.coalesce(format_price(F.col("price_monthly_min"), F.col("price_monthly_max"), "THB/month"), F.lit("")),
+        F.lit("</p><div>Contract monthly</div><div>"), F.coalesce("contract_monthly_raw", F.lit("-")), F.lit("</div></li>"))
+
+
 def list_pages(cat: DataFrame) -> DataFrame:
-    """Forty cards a page; one in fifty cards is malformed."""
+    """Forty cards a page; one in fifty cards is malformed. Of ten pages one has no JSON and one broken JSON, but visible cards."""
     bad = (
         F.when(F.col("id") % 150 == 49, F.lit('"text"'))
         .when(F.col("id") % 150 == 99, F.concat(F.lit('{"slug":"bad","name":"bad","price":"'), F.col("id"), F.lit('"}')))
@@ -270,9 +281,12 @@ def list_pages(cat: DataFrame) -> DataFrame:
     )
     cards = cat.select(
         F.floor(F.col("id") / CARDS_PER_PAGE).cast("bigint").alias("page_no"), "id",
-        F.coalesce(bad, card_json(cat)).alias("card"))
+        F.coalesce(bad, card_json(cat)).alias("card"), F.when(bad.isNull(), card_html()).otherwise("<li>THB</li>").alias("item"))
     # A page holds forty cards by construction.
-    pages = cards.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("id", "card"))).alias("c"))
+    pages = cards.groupBy("page_no").agg(F.array_sort(F.collect_list(F.struct("id", "card", "item"))).alias("c"))
+    items = F.concat(
+        F.lit('<body><ul><li><a href="/en/packages">Packages from 100 THB</a></li>'), F.array_join(F.transform("c", lambda x: x["item"]), ""),
+        F.lit("</ul></body>"))
     total = (
         F.when(F.col("page_no") % 6 == 0, F.lit('"7"')).when(F.col("page_no") % 6 == 1, F.lit("true"))
         .when(F.col("page_no") % 6 == 2, F.lit("null")).when(F.col("page_no") % 6 == 3, F.lit("0"))
@@ -282,7 +296,8 @@ def list_pages(cat: DataFrame) -> DataFrame:
         F.lit('{"props":{"pageProps":{"pagination":{"totalPages":'), total, F.lit('},"listings":['),
         F.array_join(F.transform("c", lambda x: x["card"]), ","), F.lit("]}}}"))
     payload = F.when(F.col("page_no") % 10 == 9, F.lit("{broken")).otherwise(payload)
-    html = F.when(F.col("page_no") % 10 == 8, F.lit("<html><body>none</body></html>")).otherwise(
+    html = F.when(F.col("page_no") % 10 == 8, F.concat(F.lit("<html>"), items, F.lit("</html>"))).when(
+        F.col("page_no") % 10 == 9, F.concat(F.lit("<html><head>"), _script(payload), F.lit("</head>"), items, F.lit("</html>"))).otherwise(
         F.concat(F.lit("<html><head>"), _script(payload), F.lit("</head></html>")))
     return pages.select("page_no", F.concat(F.lit(f"{SITE}/list/"), F.col("page_no")).alias("url"), html.alias("html"))
 

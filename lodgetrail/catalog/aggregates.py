@@ -108,12 +108,13 @@ def a8(spark, sf):
 
 @query("A9_scan_counters", f"""
 WITH {MERGED}, c AS (SELECT *, {_CLASS} AS cls FROM fin)
-SELECT count(*) FILTER (seen) AS seen, count(*) FILTER (cls = 'NEW') AS new_count, count(*) FILTER (cls = 'UPDATED') AS updated_count,
+SELECT count(*) FILTER (seen) + (SELECT count(*) FROM strange) AS seen, count(*) FILTER (cls = 'NEW') AS new_count, count(*) FILTER (cls = 'UPDATED') AS updated_count,
   count(*) FILTER (cls = 'PRICE_CHANGED') AS price_changed_count, count(*) FILTER (was_removed) AS removed_count,
-  count(*) FILTER (applied AND has_monthly_contract = 'true') AS monthly_count, count(*) FILTER (seen AND NOT applied) AS error_count FROM c
+  count(*) FILTER (applied AND b.has_monthly_contract = 'true') AS monthly_count,
+  count(*) FILTER (seen AND NOT applied) + (SELECT count(*) FROM strange) AS error_count FROM c
 """)
 def a9(spark, sf):
-    return merge.scan_counters(decision(spark, sf))
+    return merge.scan_counters(decision(spark, sf, rejected=True))
 
 
 @query("A10_distinct_pages", f"""

@@ -29,20 +29,21 @@ def j1(spark, sf):
 _SPLIT = FIRSTS + """,
 st AS (SELECT slug, max(scan_no) AS last_scan, max_by(price, scan_no) AS price,
     CASE WHEN slug % 5 = 0 THEN 'removed' ELSE 'active' END AS status, slug % 3 AS missing_scan_count
-  FROM firsts WHERE scan_no < 30 GROUP BY slug),
-ba AS (SELECT slug, price FROM firsts WHERE scan_no = 30)"""
+  FROM firsts WHERE scan_no < (SELECT max(scan_no) FROM firsts) GROUP BY slug),
+ba AS (SELECT slug, price FROM firsts WHERE scan_no = (SELECT max(scan_no) FROM firsts))"""
 
 
 def split(spark, sf):
-    """State from the first 29 scans and the 30th scan as batch."""
+    """State from all scans but the last, and the last scan as batch."""
     firsts = first_cards(spark, sf)
-    state = firsts.filter("scan_no < 30").groupBy("slug").agg(
+    last = firsts.agg(F.max("scan_no")).scalar()
+    state = firsts.filter(F.col("scan_no") < last).groupBy("slug").agg(
         F.max("scan_no").alias("last_scan"), F.max_by("price", "scan_no").alias("price"))
     state = state.withColumns({
         "status": F.when(F.col("slug") % 5 == 0, "removed").otherwise("active"),
         "missing_scan_count": F.col("slug") % 3,
     })
-    return state, firsts.filter("scan_no = 30").select("slug", "price")
+    return state, firsts.filter(F.col("scan_no") == last).select("slug", "price")
 
 
 @query("J2_batch_state_full_outer", f"""

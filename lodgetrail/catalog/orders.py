@@ -10,7 +10,7 @@ from lodgetrail.catalog.joins import FEATURED
 from lodgetrail.catalog.registry import query
 from lodgetrail.catalog.twins import CAT, IMG, PLACES, contract_num
 from lodgetrail.functions import amenities
-from lodgetrail.operators import images, location
+from lodgetrail.operators import images, location, ordered
 from lodgetrail.plans import exports, serving
 
 
@@ -44,13 +44,13 @@ WITH {CAT}, p AS (SELECT id, COALESCE({_ONE}::DOUBLE, 'Infinity'::DOUBLE) AS pri
 asc_ AS (SELECT id, row_number() OVER (ORDER BY price, id) AS place FROM p),
 desc_ AS (SELECT id, row_number() OVER (ORDER BY price DESC, id) AS place FROM p),
 names AS (SELECT id, row_number() OVER (ORDER BY n, id) AS place FROM p)
-SELECT 'price_asc' AS sort, id FROM asc_ WHERE place <= 40 UNION ALL SELECT 'price_desc', id FROM desc_ WHERE place <= 40
-UNION ALL SELECT 'name', id FROM names WHERE place <= 40
+SELECT 'price_asc' AS sort, id, place FROM asc_ UNION ALL SELECT 'price_desc', id, place FROM desc_
+UNION ALL SELECT 'name', id, place FROM names
 """)
 def o3(spark, sf):
     cat = adapters.catalogue(spark, sf)
     parts = [
-        cat.orderBy(*serving.catalogue_order(s)).limit(40).select(F.lit(s).alias("sort"), "id")
+        ordered.placed(cat, *serving.catalogue_order(s)).select(F.lit(s).alias("sort"), "id", "place")
         for s in ("price_asc", "price_desc", "name")
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -60,12 +60,12 @@ def o3(spark, sf):
 WITH {CAT}, p AS (SELECT id, CASE WHEN COALESCE(contract_monthly_min, price_monthly_min) > 0 THEN COALESCE(contract_monthly_min, price_monthly_min) END AS price FROM cat),
 asc_ AS (SELECT id, row_number() OVER (ORDER BY price NULLS LAST, id) AS place FROM p),
 desc_ AS (SELECT id, row_number() OVER (ORDER BY price DESC NULLS LAST, id) AS place FROM p)
-SELECT 'price_asc' AS sort, id FROM asc_ WHERE place <= 40 UNION ALL SELECT 'price_desc', id FROM desc_ WHERE place <= 40
+SELECT 'price_asc' AS sort, id, place FROM asc_ UNION ALL SELECT 'price_desc', id, place FROM desc_
 """)
 def o4(spark, sf):
     cat = adapters.catalogue(spark, sf)
     up, down = (
-        cat.orderBy(*serving.map_order(s)).limit(40).select(F.lit(s).alias("sort"), "id")
+        ordered.placed(cat, *serving.map_order(s)).select(F.lit(s).alias("sort"), "id", "place")
         for s in ("price_asc", "price_desc")
     )
     return up.unionByName(down)

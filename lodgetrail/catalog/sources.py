@@ -102,6 +102,19 @@ def s6(spark, sf):
         "is_verified", "has_promotion", "has_monthly_contract", "address", "province")
 
 
+@query("S6_page_cards", f"""
+WITH {CAT}
+SELECT id // 40 AS page_no, slug, name, url, COALESCE(price_monthly_raw, contract_monthly_raw) AS price_monthly_raw,
+  COALESCE(contract_monthly_raw, '-') AS contract_monthly_raw, CASE WHEN contract_monthly_raw IS NULL THEN 'false' ELSE 'true' END AS has_monthly_contract,
+  CASE WHEN id % 2 = 0 THEN '{adapters.CDN}/c/' || id || '.jpg' END AS thumbnail_url
+FROM cat WHERE (id // 40) % 10 IN (8, 9) AND id % 150 NOT IN (49, 99, 149)
+""")
+def s6_pages(spark, sf):
+    read = pages.read_html_cards(landed(spark, sf).withColumnRenamed("url", "page_url"), adapters.SITE, adapters.CDN)
+    return read.select(
+        "page_no", "slug", "name", "url", "price_monthly_raw", "contract_monthly_raw", "has_monthly_contract", "thumbnail_url")
+
+
 @query("S6_text_lines_in_documents", """
 WITH l AS (SELECT doc_id, [trim(x) FOR x IN string_split(text, chr(10)) IF trim(x) <> ''] AS lines FROM documents)
 SELECT doc_id, len(lines)::BIGINT AS lines, lines[2] AS after_first FROM l

@@ -35,16 +35,17 @@ def ingest_weeks(spark, sf) -> TrackingStore:
     obs = adapters.observations(spark, sf).withColumn("week", week.cast("int"))
     landing, checkpoint = new_work_dir(spark, "landing"), new_work_dir(spark, "ingest")
     store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
-    for n in range(5):
+    for n in sorted(r.week for r in obs.select("week").distinct().collect()):  # a row per week
         obs.filter(F.col("week") == n).write.mode("append").parquet(landing)
         landed = spark.readStream.schema(obs.schema).parquet(landing)
-        scans.start_ingestion(landed, store, to_batch, "ts", checkpoint).awaitTermination()
+        scans.start_ingestion(landed, store, to_batch, "ts", checkpoint, complete=True).awaitTermination()
     return store
 
 
 _WEEKLY = OBS + f""",
 weekly AS (SELECT slug, (epoch_us(ts) // 1000000 - epoch_us(TIMESTAMP '2024-01-01') // 1000000) // {_WEEK} AS week, ts, event_id, price FROM obs),
-firsts AS (SELECT slug, week, price FROM weekly QUALIFY row_number() OVER (PARTITION BY slug, week ORDER BY ts, event_id) = 1),
+numbered AS (SELECT * REPLACE (dense_rank() OVER (ORDER BY week) - 1 AS week) FROM weekly),
+firsts AS (SELECT slug, week, price FROM numbered QUALIFY row_number() OVER (PARTITION BY slug, week ORDER BY ts, event_id) = 1),
 steps AS (SELECT *, lag(price) OVER (PARTITION BY slug ORDER BY week) AS old_price, lag(week) OVER (PARTITION BY slug ORDER BY week) AS old_week FROM firsts)"""
 
 
@@ -96,9 +97,9 @@ def t5(spark, sf):
 
 
 @query("T6_miss_streak_removal", f"""
-WITH {_WEEKLY}, gaps AS (SELECT slug, week, COALESCE(lead(week) OVER (PARTITION BY slug ORDER BY week), 5) AS next_week FROM firsts)
-SELECT slug::VARCHAR AS slug, max(week) + 1 AS last_scan, 4 - max(week) AS missing_scan_count, CASE WHEN 4 - max(week) >= 3 THEN 'removed' ELSE 'active' END AS status
-FROM gaps GROUP BY slug
+WITH {_WEEKLY}, final AS (SELECT max(week) AS w FROM firsts)
+SELECT slug::VARCHAR AS slug, max(week) + 1 AS last_scan, any_value(w) - max(week) AS missing_scan_count, CASE WHEN any_value(w) - max(week) >= 3 THEN 'removed' ELSE 'active' END AS status
+FROM firsts, final GROUP BY slug
 """)
 def t6(spark, sf):
     store = ingest_weeks(spark, sf)

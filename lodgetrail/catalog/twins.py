@@ -129,7 +129,8 @@ img AS (
 
 def _corner_sql(corner: int) -> str:
     return " + ".join(
-        f"CASE WHEN embedding[{corner * 10 + i + 1}] > 0 THEN {63 << (6 * i)}::BIGINT ELSE 0 END" for i in range(10))
+        f"CASE WHEN embedding[{at + 1}] + embedding[{at + 2}] > 0 THEN {63 << (6 * i)}::BIGINT ELSE 0 END"
+        for i, at in enumerate(range(corner * 16, corner * 16 + 16, 2)))
 
 
 VEC = "vec AS (" + " UNION ALL ".join(

@@ -37,6 +37,7 @@ LOGIN_MAX_FAILURES = 5
 POPUP_MAX_PHOTOS = 10
 POPUP_MAX_CHIPS = 6
 TEASER_MAX_CHIPS = 5
+UTILITY_SLUGS = ("agreements", "contact", "privacy", "packages", "nearby-apartment", "nearby-short-term-rental")
 
 PROVINCE_SLUGS = {
     "Amnat Charoen": "amnat-charoen", "Ang Thong": "angthong", "Bangkok": "bangkok",

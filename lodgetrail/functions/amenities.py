@@ -15,11 +15,12 @@ from lodgetrail.functions.text import NOT_AFTER_WORD, NOT_BEFORE_WORD, let
 def _java_pattern(pattern: str) -> str:
     """Unicode word edges and blanks for a pattern whose \\b sits at an end.
 
-    The text is lower-cased, so the pattern is too: matching Unicode text
+    The text is lower-cased, so the pattern's letters are too, but not those
+    that stand for a class (``\\S`` is not ``\\s``): matching Unicode text
     without case costs several times as much. The left edge of a plain word is
     tested after the word, so most places fail on their first letter.
     """
-    pattern = pattern.lower()
+    pattern = re.sub(r"\\.|[A-Z]+", lambda m: m[0] if m[0].startswith("\\") else m[0].lower(), pattern)
     left, right = pattern.startswith(r"\b"), pattern.endswith(r"\b")
     body = pattern[2 if left else 0:-2 if right else None]
     end = NOT_BEFORE_WORD if right else ""

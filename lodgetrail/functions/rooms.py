@@ -26,7 +26,7 @@ def contract_rooms(rooms: Column) -> Column:
 def humanise(code: Column) -> Column:
     """'STUDIO_ROOM' to 'Studio room'."""
     low = F.replace(F.lower(F.nullif(code, F.lit(""))), F.lit("_"), F.lit(" "))
-    return F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1_000_000))
+    return F.concat(F.upper(F.substring(low, 1, 1)), F.substr(low, F.lit(2)))
 
 
 def number_text(x: Column) -> Column:

@@ -99,7 +99,7 @@ def has_real_phone(c: Column) -> Column:
 def format_phone(c: Column) -> Column:
     """'(+66) 81 806 3131'; other lengths are grouped by three."""
     d = digits(F.coalesce(c, F.lit("")))
-    rest = F.substring(d, 3, 1_000_000)
+    rest = F.substr(d, F.lit(3))
     grouped = F.when(
         F.length(rest) == 9, F.regexp_replace(rest, r"^(..)(...)(....)$", "$1 $2 $3")
     ).otherwise(F.regexp_replace(rest, r"(.{3})(?=.)", "$1 "))

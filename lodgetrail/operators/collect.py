@@ -50,9 +50,16 @@ def precedence_union(main: DataFrame, location: DataFrame, order: list[str]) ->
 
 
 def attach_details(raw: DataFrame, details: DataFrame, key: str = "url") -> DataFrame:
-    """Detail columns beside each card; cards without a detail page keep NULLs."""
+    """Detail columns beside each card; cards without a detail page keep NULLs.
+
+    A page landed twice counts once, so a card never doubles: one that was
+    still there goes before one that was gone, else the choice is by content.
+    """
     schemas.assert_disjoint(raw, details, key)
-    return raw.join(details, key, "left")
+    rest = [c for c in details.columns if c != key]
+    gone = F.coalesce("page_gone", F.lit(False)) if "page_gone" in rest else F.lit(False)
+    one = details.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(gone, F.to_json(F.struct(*rest)))).alias("_row"))
+    return raw.join(one.select(key, *[F.col(f"_row.{c}").alias(c) for c in rest]), key, "left")
 
 
 def stale_details(cards: DataFrame, state: DataFrame, as_of: Column, refresh_days: int = dims.DETAIL_REFRESH_DAYS) -> DataFrame:

@@ -141,8 +141,8 @@ def review_counters(reviews: DataFrame) -> DataFrame:
 
 # ---- near duplicates ---------------------------------------------------------
 
-# Groups with more distinct hashes than this are matched on longer keys.
-_LARGE_GROUP = 20_000
+# Blocks that two close hashes must agree on to meet.
+_AGREE = 3
 
 
 def agreement_masks(distance: int, agree: int, bits: int = 64) -> list[int]:
@@ -170,30 +170,24 @@ def distinct_hashes(corners: DataFrame, group=("listing_id", "corner")) -> DataF
 
 def near_links(
     hashes: DataFrame, distance: int = dims.HASH_DISTANCE_THRESHOLD, group=("listing_id", "corner"),
-    large_group: int = _LARGE_GROUP,
+    agree: int = _AGREE,
 ) -> DataFrame:
     """(hash, near_hash) of different hash values at most ``distance`` bits apart, both ways.
 
     Candidates meet on (group, mask, masked hash), never on the group alone:
-    two agreeing blocks for ordinary groups, four for large ones. A pair counts
-    only under the first mask it agrees on, which makes it unique without a
-    distinct. Every close pair is found, whatever the size of the group.
+    ``agree`` agreeing blocks. A pair counts only under the first mask it agrees
+    on, which makes it unique without a distinct. Every close pair is found,
+    whatever the size of the group.
     """
-    sizes = hashes.groupBy(*group).agg((F.count(F.lit(1)) > large_group).alias("large"))
-    short, long = _mask_array(distance, 2), _mask_array(distance, 4)
-
-    def masks() -> Column:
-        return F.when(F.col("large"), long).otherwise(short)
-
-    keys = F.transform(masks(), lambda m: F.struct(m.alias("mask"), F.col("hash").bitwiseAND(m).alias("masked")))
-    keyed = hashes.join(sizes, list(group)).select(*group, "hash", "large", F.explode(keys).alias("k")).select(
-        *group, "hash", "large", "k.mask", "k.masked")
+    masks = _mask_array(distance, agree)
+    keys = F.transform(masks, lambda m: F.struct(m.alias("mask"), F.col("hash").bitwiseAND(m).alias("masked")))
+    keyed = hashes.select(*group, "hash", F.explode(keys).alias("k")).select(*group, "hash", "k.mask", "k.masked")
     other = keyed.select(*group, F.col("hash").alias("near_hash"), "mask", "masked")
     close = keyed.join(other, [*group, "mask", "masked"]).filter(
         (F.col("hash") < F.col("near_hash"))
         & (F.bit_count(F.col("hash").bitwiseXOR(F.col("near_hash"))) <= distance))
     first = F.get(
-        F.filter(masks(), lambda m: F.col("hash").bitwiseXOR(F.col("near_hash")).bitwiseAND(m) == 0), F.lit(0))
+        F.filter(masks, lambda m: F.col("hash").bitwiseXOR(F.col("near_hash")).bitwiseAND(m) == 0), F.lit(0))
     one_way = close.filter(F.col("mask") == first).select(*group, "hash", "near_hash")
     return one_way.select(*group, F.explode(F.array(
         F.struct("hash", "near_hash"),

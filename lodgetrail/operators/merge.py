@@ -67,7 +67,8 @@ def upsert(state: DataFrame, batch: DataFrame, scan_time: Column, carry: tuple[s
     ``carry`` names batch columns to pass through beside the state columns.
 
     ``batch`` has one row per slug. A row with ``row_error`` set counts as seen
-    and changes nothing. Besides the state columns the result carries
+    and changes nothing; if its slug is not stored, it stays in the frame for
+    the counters and goes no further. Besides the state columns the result carries
     ``was_known``, ``was_seen``, ``was_applied``, ``old_status``, ``old_hash``
     and ``old_prices`` (struct).
     """
@@ -79,8 +80,7 @@ def upsert(state: DataFrame, batch: DataFrame, scan_time: Column, carry: tuple[s
     seen = _new("name").isNotNull() | _new("row_error").isNotNull()
     applied = seen & _new("row_error").isNull()
     fresh = applied & ~known
-    flags = joined.withColumns({"was_known": known, "was_seen": seen, "was_applied": applied}).filter(
-        "was_known OR was_applied")
+    flags = joined.withColumns({"was_known": known, "was_seen": seen, "was_applied": applied})
 
     row: dict[str, Column] = {}
     for name, policy in schemas.FIELD_POLICIES.items():
@@ -104,6 +104,7 @@ def upsert(state: DataFrame, batch: DataFrame, scan_time: Column, carry: tuple[s
 
     first = flags.select(
         "slug", "was_known", "was_seen", "was_applied",
+        _new("has_monthly_contract").alias("scanned_monthly"), _new("row_error").alias("row_error"),
         _old("status").alias("old_status"),
         _old("content_hash").alias("old_hash"),
         _old("description").alias("old_description"),
@@ -120,15 +121,10 @@ def upsert(state: DataFrame, batch: DataFrame, scan_time: Column, carry: tuple[s
     }).drop("old_description")
 
 
-def coverage(upserted: DataFrame, seen_extra: Column | None = None) -> DataFrame:
-    """One row: active listings after the upserts, and distinct slugs seen.
-
-    ``seen_extra`` adds seen slugs that never reach the frame (rejected cards
-    of unknown listings).
-    """
-    seen = F.count_if("was_seen") if seen_extra is None else F.count_if("was_seen") + seen_extra
+def coverage(upserted: DataFrame) -> DataFrame:
+    """One row: active listings after the upserts, and distinct slugs seen."""
     return upserted.agg(
-        F.count_if(F.col("status") == "active").alias("active"), seen.alias("seen"))
+        F.count_if(F.col("status") == "active").alias("active"), F.count_if("was_seen").alias("seen"))
 
 
 def covers_enough(active: Column, seen: Column, minimum: float = dims.MIN_SCAN_COVERAGE) -> Column:
@@ -176,8 +172,8 @@ def classify(decision: DataFrame) -> DataFrame:
     existing = F.col("was_known") & F.col("was_applied")
     changes = F.when(existing, F.array_compact(compared))
     label = (
-        F.when(~F.col("was_known"), "NEW")
-        .when(~F.col("was_applied"), F.lit(None))
+        F.when(~F.col("was_applied"), F.lit(None))
+        .when(~F.col("was_known"), "NEW")
         .when(F.size("price_changes") > 0, "PRICE_CHANGED")
         .when(~F.col("old_hash").eqNullSafe(F.col("content_hash")), "UPDATED")
         .when(F.col("old_status") == "removed", "REACTIVATED")
@@ -207,7 +203,7 @@ def decide(
 
 
 def new_state(decision: DataFrame) -> DataFrame:
-    return schemas.conform(decision, schemas.STATE_SCHEMA)
+    return schemas.conform(decision.filter("was_known OR was_applied"), schemas.STATE_SCHEMA)
 
 
 def history_rows(decision: DataFrame, scan_time: Column) -> DataFrame:
@@ -231,7 +227,7 @@ def history_rows(decision: DataFrame, scan_time: Column) -> DataFrame:
     )
     hash_differs = ~F.col("old_hash").eqNullSafe(F.col("content_hash"))
     single = F.array_compact(F.array(
-        F.when(~F.col("was_known"), event("NEW")),
+        F.when(F.col("was_applied") & ~F.col("was_known"), event("NEW")),
         F.when(existing & hash_differs, event("UPDATED", "content_hash", F.col("old_hash"), F.col("content_hash"))),
         F.when(existing & (F.col("old_status") == "removed"), event("REACTIVATED")),
         F.when(
@@ -252,7 +248,7 @@ def scan_counters(decision: DataFrame) -> DataFrame:
         F.count_if(cls == "UPDATED").alias("updated_count"),
         F.count_if(cls == "PRICE_CHANGED").alias("price_changed_count"),
         F.count_if("was_removed").alias("removed_count"),
-        F.count_if(F.col("was_applied") & (F.col("has_monthly_contract") == "true")).alias("monthly_count"),
+        F.count_if(F.col("was_applied") & (F.col("scanned_monthly") == "true")).alias("monthly_count"),
         F.count_if(F.col("was_seen") & ~F.col("was_applied")).alias("error_count"),
     )
 

@@ -14,6 +14,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodgetrail.session import stage
+
 
 def running(
     df: DataFrame,
@@ -103,3 +105,19 @@ def sliding_count(
     counted = with_lookback(df, ts, window_seconds, chunk_seconds).withColumn(
         name, F.count(F.lit(1)).over(w))
     return counted.filter("_own").select(*df.columns, name)
+
+
+def placed(df: DataFrame, *order: Column, into: str = "place") -> DataFrame:
+    """Every row with its place (from 1) in the whole order.
+
+    Rows are sorted over ranges and staged; a row's place is its number in its
+    range after the rows of the ranges before, of which there is one count each.
+    """
+    rows = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        "_uid", F.monotonically_increasing_id()), "placed")
+    numbered = rows.withColumns({"_range": F.shiftright("_uid", 33), "_row": F.col("_uid").bitwiseAND((1 << 33) - 1)})
+    counts = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return numbered.join(F.broadcast(bases), "_range").select(
+        *df.columns, (F.col("_base") + F.col("_row") + 1).alias(into))

@@ -32,15 +32,20 @@ def collect_listings(
 ) -> DataFrame:
     """Landed list pages (page_no, url, html) to one raw row per slug."""
     order = ["page_no", "card_no"]
-    cards = list_pages.read_cards(list_landing.withColumnRenamed("url", "page_url"), site.base_url, site.cdn_url)
+
+    def read(landing: DataFrame) -> DataFrame:
+        """Cards of the embedded JSON, and visible cards of pages without it."""
+        landing = landing.withColumnRenamed("url", "page_url")
+        cards = list_pages.read_cards(landing, site.base_url, site.cdn_url)
+        return cards.unionByName(list_pages.read_html_cards(landing, site.base_url, site.cdn_url))
+
+    cards = read(list_landing)
     main = collect.first_occurrence(cards, ["slug"], order)
     if monthly_only:
         main = main.filter(F.col("has_monthly_contract") == "true")
     if location_landing is None:
         return main
-    extra = list_pages.read_cards(
-        location_landing.withColumnRenamed("url", "page_url"), site.base_url, site.cdn_url)
-    return collect.precedence_union(main, extra, order)
+    return collect.precedence_union(main, read(location_landing), order)
 
 
 def full_batch(raw: DataFrame, detail_landing: DataFrame | None, site: Site) -> DataFrame:
@@ -160,7 +165,7 @@ class TrackingStore:
 
     def apply_scan(
         self, batch: DataFrame, scan_time: str, complete: bool = True, batch_key: str | None = None,
-        rejected_seen: int = 0, threshold: int = dims.REMOVED_AFTER_MISSING_SCANS,
+        threshold: int = dims.REMOVED_AFTER_MISSING_SCANS,
         minimum: float = dims.MIN_SCAN_COVERAGE,
     ) -> ScanOutcome | None:
         """Merge one batch; None if ``batch_key`` was merged before.
@@ -176,7 +181,7 @@ class TrackingStore:
         entry = {"scan_id": version + 1, "batch_key": batch_key, "started_at": scan_time}
         try:
             counters, checked = self._write_version(
-                version + 1, batch, clock.instant(scan_time), complete, rejected_seen, threshold, minimum)
+                version + 1, batch, clock.instant(scan_time), complete, threshold, minimum)
         except Exception as error:
             self._write_manifest(
                 {**entry, "version": version, "status": "failed", "error_message": str(error)[:2000]})
@@ -225,11 +230,14 @@ class TrackingStore:
             self._delete(f"state/v={v}")
 
     def _write_version(
-        self, scan_id: int, batch: DataFrame, at: Column, complete: bool, rejected_seen: int,
-        threshold: int, minimum: float,
+        self, scan_id: int, batch: DataFrame, at: Column, complete: bool, threshold: int,
+        minimum: float,
     ) -> tuple[dict, bool]:
         upserted = self._stage(scan_id, merge.upsert(self.state(), batch, at, carry=("images", "thumbnail_url")))
-        seen = merge.coverage(upserted, F.lit(rejected_seen)).first()
+        twice = upserted.groupBy("slug").count().filter("count > 1").first()
+        if twice is not None:
+            raise ValueError(f"the batch holds {twice.slug} {twice['count']} times")
+        seen = merge.coverage(upserted).first()
         trusted = bool(complete and (seen.active == 0 or seen.seen >= seen.active * minimum))
         decision = merge.classify(merge.count_missing(upserted, F.lit(trusted), threshold))
 

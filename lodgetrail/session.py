@@ -64,11 +64,14 @@ def ship_package(spark: SparkSession) -> None:
 def work_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (unit tests on one machine) a temporary folder is made and recorded.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder is made and recorded if all work runs in this process
+    (unit tests); executors elsewhere could not read it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="lodgetrail-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -7,11 +7,13 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgetrail import schemas
+from lodgetrail import dims, schemas
 from lodgetrail.functions import clock, geo
 from lodgetrail.functions.fees import variant_kind, variant_text
-from lodgetrail.functions.price import contract_flag, format_price
-from lodgetrail.functions.text import address_text, first_match, is_verified_text, prefixed, text_lines
+from lodgetrail.functions.price import contract_flag, format_price, parse_price_range
+from lodgetrail.functions.text import (
+    address_text, blank_to_null, first_match, is_verified_text, prefixed, strip, strip_tags, text_lines,
+)
 
 _EMBEDDED_JSON = r'(?s)<script id="__NEXT_DATA__"[^>]*>(.*?)</script>'
 _HREF = r'(?i)<a\b[^>]*?\bhref="([^"]*)"'
@@ -159,6 +161,38 @@ def read_cards(pages: DataFrame, base_url: str, cdn_url: str) -> DataFrame:
     return project_cards(cards.filter(card_is_valid()), base_url, cdn_url)
 
 
+def read_html_cards(pages: DataFrame, base_url: str, cdn_url: str) -> DataFrame:
+    """Raw listings of pages without usable embedded JSON, from their visible cards.
+
+    A card is a list item that names a price and links to a listing; links of
+    the navigation don't count. Items without a link or a name are left out.
+    """
+    listed = F.try_variant_get("payload", "$.props.pageProps.listings", "array<variant>")
+    bare = with_payload(pages).filter(listed.isNull())
+    keep = [c for c in pages.columns if c != "html"]
+    items = F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1))
+    cards = bare.select(*keep, F.posexplode(items).alias("card_no", "item")).filter(
+        F.contains("item", F.lit("THB")) | F.contains("item", F.lit("Contract monthly")))
+    anchors = F.regexp_extract_all("item", F.lit(r"""(?is)<a\b[^>]*?\bhref=["'](/en/[^"'/]+)["'][^>]*>.*?</a\s*>"""), F.lit(0))
+    slug = lambda a: F.regexp_extract(a, r"""(?i)\bhref=["']/en/([^"'/]+)""", 1)
+    own = F.get(F.filter(anchors, lambda a: ~slug(a).isin(*dims.UTILITY_SLUGS)), F.lit(0))
+    heading = first_match(F.col("item"), r"(?is)<h[1-6]\b[^>]*>(.*?)</h[1-6]\s*>")
+    named = cards.withColumn("anchor", own).filter("anchor IS NOT NULL").select(
+        *keep, "card_no", slug(F.col("anchor")).alias("slug"),
+        F.coalesce(blank_to_null(strip(strip_tags(F.col("anchor"), " "))), blank_to_null(strip(strip_tags(heading, " ")))).alias("name"),
+        strip_tags(F.col("item")).alias("card_text"),
+        first_match(F.col("item"), rf"""(?i)<img\b[^>]*?\bsrc=["']({re.escape(cdn_url)}[^"'?]*)""").alias("thumbnail_url"))
+    read = read_text_cards(named.filter("name IS NOT NULL"))
+    prices: dict[str, Column] = {}
+    for target in ("price_monthly", "daily_price", *_TERMS):
+        both = parse_price_range(F.col(f"{target}_raw"))
+        prices[f"{target}_min"], prices[f"{target}_max"] = both["min"], both["max"]
+    read = read.withColumns({
+        **prices, "url": F.concat(F.lit(f"{base_url}/en/"), "slug"), "from_structured_list": F.col("contract_monthly_raw").isNotNull()})
+    return read.select(*[c for c in keep if c not in schemas.RAW_SCHEMA.names], "card_no", *[
+        F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.RAW_SCHEMA.fields])
+
+
 def quarantined_cards(pages: DataFrame) -> DataFrame:
     """The cards ``read_cards`` leaves out, as JSON text."""
     cards = explode_cards(with_payload(pages)).filter(~card_is_valid())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodgetrail import dims
 from lodgetrail.operators.limits import Admission
 
+# Rows handed on at once.
+_ROWS = 10_000
 _OUT = "client bigint, request_id bigint, ts timestamp, admitted boolean, retry_after bigint"
 
 
@@ -22,7 +25,9 @@ def admitted(
     """Requests (client, request_id, ts) with their verdict.
 
     The state of a client is the instants it was admitted at, at most ``limit``
-    of them; it expires once the window has passed without a request.
+    of them; it expires once the window has passed without a request. The Arrow
+    batches of a client come in no order, so its instants and request numbers
+    (16 bytes a request) are gathered and sorted before the walk.
     """
     window_us = window_seconds * 1_000_000
 
@@ -31,13 +36,15 @@ def admitted(
             state.remove()
             return
         gate = Admission(limit, window_us, state.get[0] if state.exists else ())
-        newest = 0
-        for pdf in sorted(batches, key=lambda p: p["us"].min()):
-            pdf = pdf.sort_values(["us", "request_id"])
-            waits = [gate.offer(int(us)) for us in pdf["us"]]
-            newest = max(newest, int(pdf["us"].max()))
+        held = [(pdf["us"].to_numpy(), pdf["request_id"].to_numpy()) for pdf in batches]
+        us, request = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((request, us))
+        us, request, newest = us[order], request[order], int(us.max())
+        for at in range(0, len(us), _ROWS):
+            part = slice(at, at + _ROWS)
+            waits = [gate.offer(int(x)) for x in us[part]]
             yield pd.DataFrame({
-                "client": pdf["client"], "request_id": pdf["request_id"], "ts": pdf["ts"],
+                "client": key[0], "request_id": request[part], "ts": pd.to_datetime(us[part], unit="us"),
                 "admitted": [w is None for w in waits],
                 "retry_after": pd.array(waits, dtype="Int64"),
             })
@@ -46,7 +53,7 @@ def admitted(
 
     return (
         requests.withWatermark("ts", delay)
-        .withColumn("us", F.unix_micros("ts"))
+        .select("client", "request_id", "ts", F.unix_micros("ts").alias("us"))
         .groupBy("client")
         .applyInPandasWithState(decide, _OUT, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     )

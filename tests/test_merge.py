@@ -114,7 +114,14 @@ def test_bad_row_is_isolated_but_seen(spark):
     good = [{"slug": s} for s in "abc"]
     d, state = fold(spark, batch(spark, *good), batch(spark, {"slug": "a", "name": ""}, {"slug": "b"}, {"slug": "c", "phone": "9" * 101}, {"slug": "z", "url": ""}))
     assert {r.slug: (r.name, r.missing_scan_count) for r in state.collect()} == {"a": ("Name a", 0), "b": ("Name b", 0), "c": ("Name c", 0)}
-    assert merge.scan_counters(d).first().error_count == 2
+    counters = merge.scan_counters(d).first()
+    assert (counters.error_count, counters.seen, counters.new_count) == (3, 4, 0)
+    assert {r.slug for r in merge.history_rows(d, F.lit(AT[1]).cast("timestamp")).collect()} <= set("abc")
+
+
+def test_monthly_count_is_of_the_scanned_rows(spark):
+    d, state = fold(spark, batch(spark, {"slug": "a", "has_monthly_contract": "true"}), batch(spark, {"slug": "a", "has_monthly_contract": "unknown"}))
+    assert one(state).has_monthly_contract == "true" and merge.scan_counters(d).first().monthly_count == 0
 
 
 def test_gone_page_only_marks_the_read(spark):

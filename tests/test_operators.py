@@ -87,8 +87,8 @@ def near(a, b):
     return bin((a ^ b) & (2**64 - 1)).count("1") <= 6
 
 
-@pytest.mark.parametrize("large_group", [10**9, 20])
-def test_watermark_clusters_equal_brute_force(spark, large_group):
+@pytest.mark.parametrize("agree", [2, 3, 4])
+def test_watermark_clusters_equal_brute_force(spark, agree):
     rng = random.Random(7)
     seeds = [rng.getrandbits(64) for _ in range(12)]
     rows = []
@@ -99,7 +99,7 @@ def test_watermark_clusters_equal_brute_force(spark, large_group):
         rows.append((i, 1 if i % 3 else i % 5, "tl", h - 2**64 if h >> 63 else h))
     corners = spark.createDataFrame(rows, "image_id bigint, listing_id bigint, corner string, hash bigint")
     hashes = images.distinct_hashes(corners)
-    got = {(r.listing_id, r.hash, r.near_hash) for r in images.near_links(hashes, large_group=large_group).collect()}
+    got = {(r.listing_id, r.hash, r.near_hash) for r in images.near_links(hashes, agree=agree).collect()}
     own = {(r[1], r[3]) for r in rows}
     assert got == {(l, a, b) for l, a in own for m, b in own if l == m and a != b and near(a, b)}
     flagged = set()

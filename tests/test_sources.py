@@ -113,3 +113,16 @@ def test_point_cache(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"a|b|c": {"lat": 1.5, "lon": 2.0}, "x": {"lat": 3, "lon": 4}}')
     got = tables.read_point_cache(spark, str(tmp_path / "c.json")).orderBy("place_key").collect()
     assert [tuple(r) for r in got] == [("a|b|c", 1.5, 2.0), ("x", 3.0, 4.0)]
+
+
+def test_pages_without_json_are_read_from_visible_cards(spark):
+    card = '<li><a href="/en/packages">Buy</a><a href=\'/en/calm\'>Calm &amp; House</a><img src="https://cdn.example/c/1.jpg?w=2"><p>14,000 - 36,000 THB/month</p><div>Contract monthly</div><div>15,000 THB/month</div></li>'
+    other = '<li><a href="/en/contact">THB</a></li><li>THB 3</li><li><a href="/en/deep/er">x</a>THB</li><li class="a"><a href="/en/day"> </a><h3>By day</h3>900 THB/day</li>'
+    rows = [(1, "u1", f"<ul>{card}{other}</ul>"), (2, "u2", script("{broken") + card), (3, "u3", script({"props": {"pageProps": {"listings": []}}}) + card), (4, "u4", None)]
+    df = spark.createDataFrame(rows, "page_no bigint, page_url string, html string")
+    got = {(r.page_no, r.slug): r for r in pages.read_html_cards(df, BASE, CDN).collect()}
+    assert set(got) == {(1, "calm"), (1, "day"), (2, "calm")}
+    calm = got[1, "calm"]
+    assert (calm.name, calm.url, calm.price_monthly_min, calm.price_monthly_max) == ("Calm & House", f"{BASE}/en/calm", 14000, 36000)
+    assert (calm.contract_monthly_min, calm.has_monthly_contract, calm.from_structured_list, calm.thumbnail_url) == (15000, "true", True, f"{CDN}/c/1.jpg")
+    assert (got[1, "day"].name, got[1, "day"].daily_price_min, got[1, "day"].from_structured_list) == ("By day", 900, False)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodgetrail.catalog.streams import to_batch
+from lodgetrail.operators import limits
 from lodgetrail.operators.limits import Admission
 from lodgetrail.plans.scan import TrackingStore
 from lodgetrail.session import new_work_dir
@@ -78,13 +79,13 @@ def test_ingestion_is_one_scan_per_batch_and_replay_safe(spark, tmp_path):
     def land(*rows):
         spark.createDataFrame([(i, t, s, 1, p, "p") for i, t, s, p in rows], schema).write.mode("append").parquet(landing)
         stream = spark.readStream.schema(schema).parquet(landing)
-        scans.start_ingestion(stream, store, to_batch, "ts", checkpoint).awaitTermination()
+        scans.start_ingestion(stream, store, to_batch, "ts", checkpoint, complete=True).awaitTermination()
 
     land((1, START, 7, 100), (2, START, 8, 100), (3, START + timedelta(seconds=1), 7, 900))
     land((4, START + timedelta(days=1), 7, 300))
     log = store.scan_log().orderBy("scan_id").collect()
-    assert [(r.new_count, r.price_changed_count, r.batch_key) for r in log] == [(2, 0, "stream-0"), (0, 1, "stream-1")]
-    again = scans.merge_batches(store, to_batch, "ts")
+    assert [(r.new_count, r.price_changed_count, r.batch_key) for r in log] == [(2, 0, f"{checkpoint}-0"), (0, 1, f"{checkpoint}-1")]
+    again = scans.merge_batches(store, to_batch, "ts", stream=checkpoint)
     again(spark.read.schema(schema).parquet(landing), 1)
     assert store.version() == 2
     assert {r.slug: r.missing_scan_count for r in store.state().collect()} == {"7": 0, "8": 1}
@@ -92,3 +93,35 @@ def test_ingestion_is_one_scan_per_batch_and_replay_safe(spark, tmp_path):
 
 def test_work_folder_comes_from_the_session(spark):
     assert new_work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_quota_is_right_past_one_arrow_batch(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(1 if i % 5 else 2, i, START + timedelta(seconds=rng.randrange(4000))) for i in range(300)]
+    schema = "client bigint, request_id bigint, ts timestamp"
+    landing = str(tmp_path / "landing")
+    spark.createDataFrame(rows, schema).repartition(4).write.parquet(landing)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = spark.readStream.schema(schema).parquet(landing)
+        got = events.drain(quota.admitted(stream, limit=4, window_seconds=300), "quota").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = limits.admit_requests(spark.createDataFrame(rows, schema), 4, 300).collect()
+    key = lambda rs: sorted((r.client, r.request_id, r.ts, r.admitted, r.retry_after) for r in rs)
+    assert [str(x) for x in key(got)] == [str(x) for x in key(want)]
+
+
+def test_work_folder_must_be_shared_off_one_machine():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_work_dir(Session(), "x")

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from lodgetrail.session import stage
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return row[0], row[1]
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one ``b`` that is no ``a`` itself: the ends are then the roots."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return nodes.where("up > 1 OR (up = 1 AND root = 1)").isEmpty()
 
 
 def _toward_smallest(edges: DataFrame, only_larger: bool) -> DataFrame:
@@ -34,14 +37,9 @@ def components(links: DataFrame) -> DataFrame:
     the shared folder. The number of steps grows with the logarithm of the longest chain.
     """
     edges = stage(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = _fingerprint(edges)
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = stage(_toward_smallest(both, only_larger=True).distinct(), "large-star")
+        large = stage(_toward_smallest(both, only_larger=True), "large-star")
         edges = stage(_toward_smallest(large, only_larger=False).distinct(), "small-star")
-        now = _fingerprint(edges)
-        if now == seen:
-            break
-        seen = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

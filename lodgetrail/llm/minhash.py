@@ -20,17 +20,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lodgetrail.llm.common import grams, hashed_words, mix, small_batches
 from lodgetrail.llm.graph import components
-from lodgetrail.session import stage
+from lodgetrail.session import new_work_dir, stage
 
 SHINGLE = 5
 PERMUTATIONS = 48
 ROWS = 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Members of a star that are compared in one group; larger stars are dealt to several.
-STAR = 256
+STAR = 64
 #: Documents and shingles from which the order of shingles is made.
 ORDER_DOCUMENTS, ORDER_SHINGLES = 4096, 1 << 18
 
@@ -76,31 +77,50 @@ def _sketches(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, same binary, keys array<long>")
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, fields: str, emit: Callable[[dict, np.ndarray], list[tuple]]) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``doc`` and ``shingles`` (the set as bytes) of the wanted documents, bucketed by ``doc``.
+
+    The one place where texts are shuffled. The same join is asked for at every size; later joins on ``doc`` read the
+    buckets as they are.
+    """
+    spark = docs.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [shingle_set(words).tobytes() for words in hashed_words(batch.column("text"), fold=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(blobs, pa.binary())], ["doc", "shingles"])
+
+    rows = docs.join(wanted.hint("merge"), "doc").select("doc", "text").mapInArrow(run, "doc long, shingles binary")
+    path = new_work_dir(spark, "sets")
+    name = f"shingle_{path.rpartition('/')[2].replace('-', '_')}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").bucketBy(buckets, "doc").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def _with_sets(sets: DataFrame, wanted: DataFrame, fields: str, emit: Callable[[dict, np.ndarray], list[tuple]]) -> DataFrame:
     """Rows that ``emit`` makes from the rows of ``wanted`` (one per ``doc``) and their shingle sets."""
-    names = [f.split()[0] for f in fields.split(", ")]
     extra = [c for c in wanted.columns if c != "doc"]
-    schema = docs.sparkSession.createDataFrame([], fields).schema
+    kinds = to_arrow_schema(sets.sparkSession.createDataFrame([], fields).schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
+    def record(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds.types)], kinds.names)
 
-        kinds = to_arrow_schema(schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.select(["doc", *extra]).to_pylist()
             out: list[tuple] = []
-            for row, words in zip(rows, hashed_words(batch.column("text"), fold=True), strict=True):
-                out += emit(row, shingle_set(words))
+            for row, blob in zip(batch.select(["doc", *extra]).to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                out += emit(row, np.frombuffer(blob, dtype=np.uint64))
                 if len(out) >= 4000:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.field(k).type) for k in range(len(names))], names)
+                    yield record(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kinds.field(k).type) for k in range(len(names))], names)
+                yield record(out)
 
-    return docs.join(wanted, "doc").select("doc", "text", *extra).mapInArrow(run, fields)
+    return sets.join(wanted, "doc").select("doc", "shingles", *extra).mapInArrow(run, fields)
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+def _confirm(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (``hub``, ``doc``) with 100 * intersection >= threshold * union of their full sets.
 
     The members of a hub are dealt to groups of about ``STAR``; the hub's set goes to each. A group is read in order,
@@ -116,7 +136,7 @@ def _confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
         blob = found.tobytes()
         return [(r["hub"], r["salt"], r["role"], row["doc"], blob) for r in row["roles"]]
 
-    rows = _with_sets(docs, wanted, "hub long, salt int, role int, doc long, shingles binary", emit)
+    rows = _with_sets(sets, wanted, "hub long, salt int, role int, doc long, shingles binary", emit)
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,22 +157,22 @@ def _confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     return stage(rows.mapInArrow(compare, "a long, b long"), "confirmed")
 
 
-def _shingle_order(docs: DataFrame, rest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _shingle_order(sets: DataFrame, rest: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of a bounded sample of ``rest``, sorted, and how often they occur in it."""
     some = rest.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(ORDER_DOCUMENTS)
-    each = _with_sets(docs, some, "shingle long", lambda _, found: [(x,) for x in found.view(np.int64).tolist()])
+    each = _with_sets(sets, F.broadcast(some), "shingle long", lambda _, found: [(x,) for x in found.view(np.int64).tolist()])
     often = each.groupBy("shingle").count().where("count > 1").orderBy(F.desc("count"), "shingle").limit(ORDER_SHINGLES).collect()
     known = np.array(sorted((r[0], r[1]) for r in often), dtype=np.int64).reshape(-1, 2)
     return known[:, 0].copy(), known[:, 1].copy()
 
 
-def _between_components(docs: DataFrame, rest: DataFrame, threshold: int) -> DataFrame:
+def _between_components(sets: DataFrame, rest: DataFrame, threshold: int) -> DataFrame:
     """Candidate pairs (``hub``, ``doc``) of ``rest`` (``doc``, ``component``) in different components.
 
     Prefix filter: with the shingles of all sets in one order, two sets at the threshold share one among the first
     n - ceil(t * n) + 1 of each, and what can still follow the shared places bounds their intersection.
     """
-    known, count = _shingle_order(docs, rest)
+    known, count = _shingle_order(sets, rest)
 
     def emit(row: dict, found: np.ndarray) -> list[tuple]:
         signed = found.view(np.int64)
@@ -162,7 +182,7 @@ def _between_components(docs: DataFrame, rest: DataFrame, threshold: int) -> Dat
         prefix = signed[np.lexsort((signed, seen))][: n - (-(-threshold * n // 100)) + 1]
         return [(row["doc"], row["component"], n, k, int(x)) for k, x in enumerate(prefix)]
 
-    prefixes = stage(_with_sets(docs, rest, "doc long, component long, n long, place long, shingle long", emit), "prefixes")
+    prefixes = stage(_with_sets(sets, rest, "doc long, component long, n long, place long, shingle long", emit), "prefixes")
     left = prefixes.select(F.col("doc").alias("hub"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("place").alias("p"), "shingle")
     right = prefixes.select("doc", "component", "n", "place", "shingle")
     overlap = F.least(F.col("m") - F.col("p"), F.col("n") - F.col("place"))
@@ -193,7 +213,8 @@ def near_duplicates(df: DataFrame, threshold: int = 85, key: str = "doc_id", tex
     hub_sizes = members.where("doc = hub").select("hub", F.col("n").alias("m")).distinct()
     stars = members.where("doc <> hub").select("hub", "doc", "n").distinct().join(stage(hub_sizes, "hub-sizes"), "hub")
     near = stars.where(100 * F.least("n", "m") >= threshold * F.greatest("n", "m")).select("hub", "doc")
-    links = _confirm(docs, near, threshold)
+    sets = _sets(docs, members.select("doc").distinct())
+    links = _confirm(sets, near, threshold)
     joined = stage(components(links), "star-components")
     # Members other than the hub, in buckets where they are of several components.
     others = members.where("size > 2 AND doc <> hub").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
@@ -201,8 +222,9 @@ def near_duplicates(df: DataFrame, threshold: int = 85, key: str = "doc_id", tex
     torn = stage(others.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket"), "torn-buckets")
     rest = stage(others.join(torn, "bucket").select("doc", "component").distinct(), "undecided")
     if rest.take(1):
-        more = _confirm(docs, stage(_between_components(docs, rest, threshold), "candidates"), threshold)
-        joined = components(links.unionByName(more))
+        more = _confirm(sets, stage(_between_components(sets, rest, threshold), "candidates"), threshold)
+        # The stars stand for the links they were made of.
+        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     known = classes.select("same", "doc").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select("same", F.coalesce("component", "doc").alias("component"))
     out = sketches.select("doc", "n", "same").join(stage(known, "set-components"), "same", "left")
     component = F.coalesce("component", "doc")

@@ -1,8 +1,9 @@
 """Secret scanning: candidates, and a random forest that removes false positives.
 
-A candidate is a word with a run of at least 16 letters, digits and ``+/=_-`` that holds a digit. Its features are its
-length, how often neighbouring characters change between digits, small and capital letters, how much of it is covered by
-dictionary words, where it comes from, and the words around it. The dictionary is counted over all documents.
+A candidate is a run of at least 16 letters, digits and ``+/=_-`` that holds a digit; a word can have many (minified JSON
+is one word). Its features are its length, how often neighbouring characters change between digits, small and capital
+letters, how much of it is covered by dictionary words, where it comes from, and what stands around it. The dictionary
+is counted over all documents.
 
 The tables at hand hold no labelled findings, so labels come from rules that only speak where they are sure: a value
 assigned to a secret's name is a finding, a bare number or a value that nothing assigns or names is not. Other
@@ -21,6 +22,9 @@ from lodgetrail.llm.common import words_of
 from lodgetrail.session import stage
 
 _RUN = r"[A-Za-z0-9+/=_\-]{16,}"
+#: Earlier parts of a value joined by dots, as in a JWT, and earlier name-value pairs of the same word.
+_PARTS = r"(?<![A-Za-z0-9+/_\-])(?:[A-Za-z0-9+/_\-]{16,}+\.)+$"
+_PAIRS = r"(?s)^.*[,;&{}|](?=[^,;&{}|]*[:=])"
 _NAMES = "token|secret|passw|api_?-?key|auth|credential|private|access_?-?key"
 _PLACEHOLDER = "example|sample|dummy|placeholder|changeme|xxxx|your"
 #: Labelled candidates the forest is grown on at most: those with the smallest hash.
@@ -32,7 +36,7 @@ FEATURES = ("length", "changes", "digits", "capitals", "symbols", "varied", "cov
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per candidate: ``key``, ``source``, ``place`` (word number), ``value``, and the words around it."""
+    """One row per candidate: ``key``, ``source``, ``place`` (word number), ``nth`` (run of the word), ``value``, and the text around it."""
     origin = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(key).alias("_key"), F.coalesce(origin, F.lit("")).alias("_source"), words_of(F.col(text)).alias("_words"))
     # Places first, then what stands there: most texts have none.
@@ -41,13 +45,21 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     near = F.transform("_at", lambda i: F.struct(
         i.alias("place"), F.get("_words", i).alias("word"), F.get("_words", i - 1).alias("left1"), F.get("_words", i - 2).alias("left2"), F.get("_words", i + 1).alias("right")))
     found = rows.select("_key", "_source", F.explode(near).alias("c")).select("_key", "_source", "c.*")
-    found = found.withColumn("value", F.regexp_extract("word", _RUN, 0))
+    # All runs of the word and the gaps around them. A run gets the text in front of it back over two runs, so long words are not copied for each.
+    found = found.withColumns({"_runs": F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)), "_gaps": F.split("word", _RUN, -1)})
+    each = F.transform("_runs", lambda run, k: F.struct(
+        k.alias("nth"), run.alias("run"),
+        F.concat_ws("", F.get("_gaps", k - 2), F.get("_runs", k - 2), F.get("_gaps", k - 1), F.get("_runs", k - 1), F.get("_gaps", k)).alias("front"),
+        F.when(k <= 2, F.concat_ws(" ", "left2", "left1")).alias("left"), F.when(k == F.size("_runs") - 1, F.col("right")).alias("right"),
+        F.concat_ws("", F.get("_gaps", k), F.get("_gaps", k + 1)).alias("edges")))
+    found = found.select("_key", "_source", "place", F.explode(each).alias("c")).select("_key", "_source", "place", "c.*").where(F.col("run").rlike("[0-9]"))
     # In name=value the run may hold both.
-    value = F.when(F.col("value").rlike("^[A-Za-z_-]+=+[^=]{8,}"), F.regexp_extract("value", "^[A-Za-z_-]+=+(.*)$", 1)).otherwise(F.col("value"))
+    value = F.when(F.col("run").rlike("^[A-Za-z_-]+=+[^=]{8,}"), F.regexp_extract("run", "^[A-Za-z_-]+=+(.*)$", 1)).otherwise(F.col("run"))
     found = found.withColumn("value", value)
-    before = F.expr("substring_index(word, value, 1)")
-    return found.select(F.col("_key").alias("key"), F.col("_source").alias("source"), "place", "value", "right",
-                        F.lower(F.concat_ws(" ", "left2", "left1", before)).alias("before"), F.col("word").alias("word"))
+    found = found.withColumn("front", F.concat(F.regexp_replace("front", _PARTS, ""), F.expr("left(run, length(run) - length(value))")))
+    found = found.withColumn("own", F.regexp_replace("front", _PAIRS, ""))
+    before = F.concat_ws(" ", F.when(F.col("own") == F.col("front"), F.col("left")), "own")
+    return found.select(F.col("_key").alias("key"), F.col("_source").alias("source"), "place", "nth", "value", "right", F.lower(before).alias("before"), "edges")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -71,7 +83,7 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
         "digits": _share(value, "0-9"), "capitals": _share(value, "A-Z"), "symbols": _share(value, r"+/=_\-"),
         "varied": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "named": F.col("before").rlike(_NAMES).cast("double"), "assigned": F.col("before").rlike(r"[:=]\s*[\"'`(\[]*$").cast("double"),
-        "quoted": F.col("word").rlike("[\"'`]").cast("double"), "placeholder": F.lower(F.concat_ws(" ", "before", "value")).rlike(_PLACEHOLDER).cast("double"),
+        "quoted": F.col("edges").rlike("[\"'`]").cast("double"), "placeholder": F.lower(F.concat_ws(" ", "before", "value")).rlike(_PLACEHOLDER).cast("double"),
         "number": (~value.rlike("[A-Za-z]")).cast("double"),
     })
     # Letters of the value that lie in dictionary words, by distinct value.
@@ -86,7 +98,7 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Judge every candidate of every whole text.
 
-    Returns ``key``, ``place`` (number of the word, from 0), ``value``, ``score`` (0 to 1) and ``secret`` (score of at
+    Returns ``key``, ``place`` (number of the word, from 0; a word with several candidates has a row for each), ``value``, ``score`` (0 to 1) and ``secret`` (score of at
     least ``THRESHOLD``). Null and empty texts have no candidate; repeated rows have theirs each; a missing or null
     source counts as the empty one; tables without candidates give no row. With labels of one kind only there is
     nothing to grow a forest on, and the sure rules alone decide.
@@ -95,7 +107,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     # The origin's share of sure secrets; candidates are few against texts.
     rates = found.groupBy("source").agg((F.sum(F.when(F.col("label") == 1, 1).otherwise(0)) / F.count("*")).alias("source_rate"))
     found = stage(found.join(stage(rates, "source-rates"), "source"), "described")
-    known = found.where("label IS NOT NULL").orderBy(F.xxhash64("value", "key", "place"), "value", "key", "place").limit(FIT_ROWS)
+    known = found.where("label IS NOT NULL").orderBy(F.xxhash64("value", "key", "place"), "value", "key", "place", "nth").limit(FIT_ROWS)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     known = stage(known, "labelled-findings")
     if known.select("label").distinct().count() < 2:

@@ -48,3 +48,39 @@ def test_edges(spark):
     assert secret_scan.scan(docs(spark, ["nothing here", None])).count() == 0
     only = secret_scan.scan(docs(spark, ['token = "0123456789abcdef0123456789abcdef01234567"']).drop("source")).collect()
     assert [r.secret for r in only] == [True]
+
+
+def test_every_run_of_a_word_is_judged_and_redacted(spark):
+    rng = random.Random(5)
+    key = lambda k=40, letters="0123456789abcdef": "7" + "".join(rng.choice(letters) for _ in range(k - 1))
+    a, b, c, d, e, f, g, h = (key() for _ in range(8))
+    jwt = [key(36, "abcXYZ0123456789_-") for _ in range(3)]
+    odd = [
+        f'{{"description-of-thing":"x","token":"{a}"}}', f'aws_secret_access_key:"{b}"', f'{{"token":"{c}","api_key":"{d}"}}', f"token={e},secret={f}",
+        "token=" + ".".join(jwt), f'{{"token":"{g}","order":"4444333322221111","order-number-of-things":"x"}}', f'"token":"{h}"é"token":"{h}"']
+    hidden = [[a], [b], [c, d], [e, f], jwt, [g], [h, h]]
+    n = len(odd)
+    table = docs(spark, odd + texts(3, 60))
+    found = secret_scan.scan(table).where(f"doc_id < {n}").collect()
+    got = [sorted(r.value for r in found if r.doc_id == i and r.secret) for i in range(n)]
+    assert got == [sorted(x) for x in hidden]
+    assert [(r.value, r.secret) for r in found if r.doc_id == 5 and r.value != g] == [("4444333322221111", False)]
+    clean = {r.doc_id: r.text for r in secret_scan.redact(table, secret_scan.scan(table)).collect()}
+    for i in range(n):
+        want = odd[i]
+        for v in hidden[i]:
+            want = want.replace(v, "[SECRET]")
+        assert clean[i] == want
+
+
+def test_names_belong_to_their_own_value(spark):
+    key = "0123456789abcdef0123456789abcdef"
+    table = docs(spark, [f'{{"token":"{key}","commit":"1{key}"}}', f'token = "{key}"'])
+    before = {(r.key, r.value): r.before for r in secret_scan.candidates(table).collect()}
+    assert before == {(0, key): '"token":"', (0, "1" + key): '"commit":"', (1, key): 'token = "'}
+
+
+def test_long_words_with_many_runs_are_whole(spark):
+    keys = [f"{i:040d}" for i in range(3000)]
+    found = secret_scan.candidates(docs(spark, ["{" + ",".join(f'"k":"{k}"' for k in keys) + "}"])).collect()
+    assert sorted(r.value for r in found) == keys and all(len(r.before) < 200 for r in found)

@@ -184,7 +184,9 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
 
 
 def _axes(rows: DataFrame, width: int) -> np.ndarray:
-    """Orthonormal principal axes, the leading ones first."""
+    """Orthonormal principal axes, the leading ones first; a single row has none, any axes serve it."""
+    if len(rows.take(2)) < 2:
+        return np.eye(width)
     short = F.col("_vector")
     filled = F.concat(short, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(short)))
     # The scale of a vector doesn't matter for its direction; divided by its largest component it stays finite.

@@ -57,6 +57,11 @@ def test_all_equal_and_no_rows(spark):
     assert embeddings.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_one_usable_vector(spark):
+    check(spark, [None, [0, 0, 0], [1, 2, 3], [NAN, 1, 1], []])
+    check(spark, [[1, 2]])
+
+
 def test_single_precision_input(spark):
     check(spark, [np.float32(v).tolist() for v in clusters(3, 20)], "float")
 

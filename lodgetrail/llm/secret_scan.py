@@ -6,8 +6,8 @@ letters, how much of it is covered by dictionary words, where it comes from, and
 is counted over all documents.
 
 The tables at hand hold no labelled findings, so labels come from rules that only speak where they are sure: a value
-assigned to a secret's name is a finding, a bare number or a value that nothing assigns or names is not. Other
-candidates are left to the forest. Only DataFrame functions and Spark ML are used.
+assigned to a secret's name, a key with a provider's prefix and a line of a private PEM block are findings; a bare
+number, a placeholder and dictionary words that nothing assigns or names are not. Other candidates are left to the forest. Only DataFrame functions and Spark ML are used.
 """
 
 from __future__ import annotations
@@ -26,32 +26,38 @@ _RUN = r"[A-Za-z0-9+/=_\-]{16,}"
 _PARTS = r"(?<![A-Za-z0-9+/_\-])(?:[A-Za-z0-9+/_\-]{16,}+\.)+$"
 _PAIRS = r"(?s)^.*[,;&{}|](?=[^,;&{}|]*[:=])"
 _NAMES = "token|secret|passw|api_?-?key|auth|credential|private|access_?-?key"
+_KEYS = r"^(?:(?:AKIA|ASIA)[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{20,}|[sr]k_(?:live|test)_[0-9A-Za-z]{8,}|xox[abeoprs]-[\w-]{10,}|AIza[\w-]{35}|npm_[A-Za-z0-9]{36})"
+_PEM = r"(?s)-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----|\z)"
 _PLACEHOLDER = "example|sample|dummy|placeholder|changeme|xxxx|your"
 #: Labelled candidates the forest is grown on at most: those with the smallest hash.
 FIT_ROWS = 50_000
 #: The words that occur in most documents make the dictionary.
 DICTIONARY = 50_000
 THRESHOLD = 0.5
-FEATURES = ("length", "changes", "digits", "capitals", "symbols", "varied", "covered", "source_rate", "named", "assigned", "quoted", "placeholder", "number")
+#: An unnamed candidate is surely harmless if this share of it is dictionary words.
+PLAIN = 0.5
+FEATURES = ("length", "changes", "digits", "capitals", "symbols", "varied", "covered", "source_rate", "named", "assigned", "quoted", "placeholder", "number", "known")
 
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """One row per candidate: ``key``, ``source``, ``place`` (word number), ``nth`` (run of the word), ``value``, and the text around it."""
     origin = F.col(source).cast("string") if source in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("_key"), F.coalesce(origin, F.lit("")).alias("_source"), words_of(F.col(text)).alias("_words"))
+    rows = docs.select(F.col(key).alias("_key"), F.coalesce(origin, F.lit("")).alias("_source"), words_of(F.col(text)).alias("_words"),
+                       F.when(F.contains(F.col(text), F.lit("-----BEGIN")), F.regexp_extract_all(F.col(text), F.lit(_PEM), F.lit(1))).alias("_pem"))
     # Places first, then what stands there: most texts have none.
     at = F.filter(F.transform("_words", lambda w, i: F.when((F.length(w) >= 16) & w.rlike("[0-9]") & w.rlike(_RUN), i)), lambda i: i.isNotNull())
-    rows = rows.select("_key", "_source", "_words", at.alias("_at")).where(F.size("_at") > 0)
+    rows = rows.select("_key", "_source", "_pem", "_words", at.alias("_at")).where(F.size("_at") > 0)
     near = F.transform("_at", lambda i: F.struct(
         i.alias("place"), F.get("_words", i).alias("word"), F.get("_words", i - 1).alias("left1"), F.get("_words", i - 2).alias("left2"), F.get("_words", i + 1).alias("right")))
-    found = rows.select("_key", "_source", F.explode(near).alias("c")).select("_key", "_source", "c.*")
+    found = rows.select("_key", "_source", "_pem", F.explode(near).alias("c")).select("_key", "_source", "_pem", "c.*")
     # All runs of the word and the gaps around them. A run gets the text in front of it back over two runs, so long words are not copied for each.
     found = found.withColumns({"_runs": F.regexp_extract_all("word", F.lit(_RUN), F.lit(0)), "_gaps": F.split("word", _RUN, -1)})
     each = F.transform("_runs", lambda run, k: F.struct(
         k.alias("nth"), run.alias("run"),
         F.concat_ws("", F.get("_gaps", k - 2), F.get("_runs", k - 2), F.get("_gaps", k - 1), F.get("_runs", k - 1), F.get("_gaps", k)).alias("front"),
         F.when(k <= 2, F.concat_ws(" ", "left2", "left1")).alias("left"), F.when(k == F.size("_runs") - 1, F.col("right")).alias("right"),
-        F.concat_ws("", F.get("_gaps", k), F.get("_gaps", k + 1)).alias("edges")))
+        F.concat_ws("", F.get("_gaps", k), F.get("_gaps", k + 1)).alias("edges"),
+        F.coalesce(F.exists("_pem", lambda body: F.contains(body, run)), F.lit(False)).alias("pem")))
     found = found.select("_key", "_source", "place", F.explode(each).alias("c")).select("_key", "_source", "place", "c.*").where(F.col("run").rlike("[0-9]"))
     # In name=value the run may hold both.
     value = F.when(F.col("run").rlike("^[A-Za-z_-]+=+[^=]{8,}"), F.regexp_extract("run", "^[A-Za-z_-]+=+(.*)$", 1)).otherwise(F.col("run"))
@@ -59,7 +65,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     found = found.withColumn("front", F.concat(F.regexp_replace("front", _PARTS, ""), F.expr("left(run, length(run) - length(value))")))
     found = found.withColumn("own", F.regexp_replace("front", _PAIRS, ""))
     before = F.concat_ws(" ", F.when(F.col("own") == F.col("front"), F.col("left")), "own")
-    return found.select(F.col("_key").alias("key"), F.col("_source").alias("source"), "place", "nth", "value", "right", F.lower(before).alias("before"), "edges")
+    return found.select(F.col("_key").alias("key"), F.col("_source").alias("source"), "place", "nth", "value", "right", F.lower(before).alias("before"), "edges", "pem")
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -84,14 +90,16 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
         "varied": F.size(F.array_distinct(F.split(value, ""))) / F.length(value),
         "named": F.col("before").rlike(_NAMES).cast("double"), "assigned": F.col("before").rlike(r"[:=]\s*[\"'`(\[]*$").cast("double"),
         "quoted": F.col("edges").rlike("[\"'`]").cast("double"), "placeholder": F.lower(F.concat_ws(" ", "before", "value")).rlike(_PLACEHOLDER).cast("double"),
-        "number": (~value.rlike("[A-Za-z]")).cast("double"),
+        "known": (F.col("pem") | value.rlike(_KEYS)).cast("double"), "number": (~value.rlike("[A-Za-z]")).cast("double"),
     })
     # Letters of the value that lie in dictionary words, by distinct value.
     pieces = found.select("value").distinct().select("value", F.explode(F.array_distinct(F.split(F.lower("value"), "[^a-z]+"))).alias("piece")).where(F.length("piece") >= 3)
     held = pieces.join(F.broadcast(known), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("_held"))  # the dictionary has a fixed size
     row = row.join(stage(held, "covered-values"), "value", "left").withColumn("covered", F.least(F.lit(1.0), F.coalesce("_held", F.lit(0)) / F.length("value"))).drop("_held")
-    sure = F.when((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("number") == 0) & (F.col("placeholder") == 0) & (F.col("length") >= 20), 1.0)
-    sure = sure.when((F.col("number") == 1) | ((F.col("named") == 0) & (F.col("assigned") == 0)) | (F.col("placeholder") == 1), 0.0)
+    sure = F.when((F.col("known") == 1) & (F.col("placeholder") == 0), 1.0)
+    sure = sure.when((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("number") == 0) & (F.col("placeholder") == 0) & (F.col("length") >= 20), 1.0)
+    plain = (F.col("named") == 0) & (F.col("assigned") == 0) & (F.col("covered") >= PLAIN)
+    sure = sure.when((F.col("number") == 1) | (F.col("placeholder") == 1) | plain, 0.0)
     return row.withColumn("label", sure)
 
 
@@ -116,7 +124,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     else:
         forest = RandomForestClassifier(numTrees=40, maxDepth=6, seed=7, labelCol="label", featuresCol="features").fit(assemble.transform(known))
         judged = forest.transform(assemble.transform(found))
-        score = vector_to_array("probability")[1]
+        # A known form is a finding wherever it stands; the forest judges the others.
+        score = F.when((F.col("known") == 1) & (F.col("placeholder") == 0), 1.0).otherwise(vector_to_array("probability")[1])
     return judged.select(F.col("key").alias(key), "place", "value", score.alias("score"), (score >= THRESHOLD).alias("secret"))
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodgetrail.llm import bpe, embeddings, minhash, packing, quality, secret_scan, sharding, substring, toxicity, urls
+from lodgetrail.llm import bpe, conversations, decontaminate, embeddings, manifest, minhash, packing, quality, secret_scan, sharding, substring, toxicity, urls
 from lodgetrail.llm.common import table
 from lodgetrail.llm.twins import TWINS as _TWINS
 from lodgetrail.session import prepare
@@ -73,7 +73,31 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards."""
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
-_RAW = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substrings, op4_minhash, op5_packing, op6_secrets, op7_embeddings, op8_urls, op9_quality, op10_sharding)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of all documents stands in the benchmark."""
+    docs = table(spark, sf_dir, "documents")
+    found = decontaminate.contamination(docs, decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark")))
+    listed = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and proofs of all documents, folded from rows of which a fifth were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    changed = manifest.leaf_of([F.translate("text", upper, lower) if f == "text" else F.col(f) for f in manifest.FIELDS])
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = manifest.manifest(docs, carry={"other_leaf": F.unhex(F.when(touched, changed))})
+    from_leaf = F.coalesce(F.lower(F.hex("other_leaf")), F.col("leaf"))
+    rows = found.proofs.select(
+        "doc_id", "leaf", "subroot", F.lit(found.root).alias("root"), manifest.siblings_digest(F.col("path")).alias("proof_sha256"),
+        manifest.fold(from_leaf, F.col("path")).alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of all conversations after damage."""
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")), copies="copies")
+
+_RAW = {f.__name__: f for f in (op1_toxicity, op2_bpe, op3_substrings, op4_minhash, op5_packing, op6_secrets, op7_embeddings, op8_urls, op9_quality, op10_sharding, op11_decontamination, op12_manifest, op13_conversations)}
 
 def _prepared(fn):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

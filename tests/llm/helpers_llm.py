@@ -10,7 +10,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 def docs(spark, texts, schema=SCHEMA):
     """A documents table; ids from 0 unless pairs are given."""
     pairs = [t if isinstance(t, tuple) else (i, t) for i, t in enumerate(texts)]
-    rows = [(i, t, "en", f"src{i % 3}", None if t is None else len(t)) for i, t in pairs]
+    rows = [(i, t, "en", f"src{(i or 0) % 3}", None if t is None else len(t)) for i, t in pairs]
     return spark.createDataFrame(rows, schema).repartition(3)
 
 

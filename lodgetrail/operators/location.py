@@ -104,13 +104,17 @@ def city_facets(listings: DataFrame) -> DataFrame:
     ``level``: 'all', 'city' or 'quarter'. Keys are lower-cased; the shown name
     is the smallest spelling.
     """
-    named = with_place_names(listings.filter(F.col("status") == "active")).filter(strip(F.col("city")) != "")
-    keyed = named.select(
-        text_key(F.col("city")).alias("city_key"), text_key(F.col("quarter")).alias("quarter_key"),
-        "city", "quarter")
+    named = with_place_names(listings.filter(F.col("status") == "active"))
+    return roll_up(named.select("city", "quarter", F.lit(1).alias("n")))
+
+
+def roll_up(places: DataFrame) -> DataFrame:
+    """The facets of (city, quarter, n); places without a city count nowhere."""
+    keyed = places.filter(strip(F.col("city")) != "").select(
+        text_key(F.col("city")).alias("city_key"), text_key(F.col("quarter")).alias("quarter_key"), "city", "quarter", "n")
     # Counted once per pair first: the rollup then triples the few groups, not the listings.
     pairs = keyed.groupBy("city_key", "quarter_key").agg(
-        F.min("city").alias("city"), F.min("quarter").alias("quarter"), F.count(F.lit(1)).alias("n"))
+        F.min("city").alias("city"), F.min("quarter").alias("quarter"), F.sum("n").alias("n"))
     rolled = pairs.rollup("city_key", "quarter_key").agg(
         F.grouping_id().alias("_g"),
         F.min("city").alias("city"), F.min("quarter").alias("quarter"),

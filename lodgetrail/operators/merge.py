@@ -241,8 +241,13 @@ def history_rows(decision: DataFrame, scan_time: Column) -> DataFrame:
 
 def scan_counters(decision: DataFrame) -> DataFrame:
     """One row of counters over the classified batch."""
+    return decision.agg(*counter_columns())
+
+
+def counter_columns() -> list[Column]:
+    """The counters of a scan as aggregates over its decision frame."""
     cls = F.col("change_class")
-    return decision.agg(
+    return [
         F.count_if("was_seen").alias("seen"),
         F.count_if(cls == "NEW").alias("new_count"),
         F.count_if(cls == "UPDATED").alias("updated_count"),
@@ -250,7 +255,7 @@ def scan_counters(decision: DataFrame) -> DataFrame:
         F.count_if("was_removed").alias("removed_count"),
         F.count_if(F.col("was_applied") & (F.col("scanned_monthly") == "true")).alias("monthly_count"),
         F.count_if(F.col("was_seen") & ~F.col("was_applied")).alias("error_count"),
-    )
+    ]
 
 
 def invalid_rows(batch: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

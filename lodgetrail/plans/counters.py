@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgetrail import dims
-from lodgetrail.functions import clock
+from lodgetrail.functions import clock, geo
 from lodgetrail.functions.price import contract_number
+from lodgetrail.operators import location
 from lodgetrail.operators.filters import seen_within
 
 
@@ -28,6 +29,69 @@ def public_counters(state: DataFrame, as_of: Column, tz: str = dims.LOCAL_TZ) ->
     )
 
 
+# ---- counters as differences --------------------------------------------------
+
+TALLY = "counter string, detail string, n bigint"
+
+
+def tally(state: DataFrame, sign: Column | None = None) -> DataFrame:
+    """What listings add to each counter, or take from it where ``sign`` is -1.
+
+    Counters: ``status``, ``first_seen`` (local day), and of active listings ``province``, ``place`` (city and quarter as
+    spelled), ``monthly``, ``three_month`` and ``six_month``.
+    """
+    def item(counter: str, detail: Column | str, when: Column | None = None) -> Column:
+        one = F.struct(F.lit(counter).alias("counter"), (F.lit(detail) if isinstance(detail, str) else detail).cast("string").alias("detail"))
+        return one if when is None else F.when(when, one)
+
+    active = F.col("status") == "active"
+    place = F.to_json(F.struct(geo.city_of().alias("city"), geo.district_of().alias("quarter")))
+    items = F.array_compact(F.array(
+        item("status", F.col("status")), item("first_seen", clock.local_day(F.col("first_seen_at"))),
+        item("province", F.col("province"), active), item("place", place, active),
+        item("monthly", "", active & (F.col("has_monthly_contract") == "true")),
+        item("three_month", "", active & _offered("contract_3_month_raw")),
+        item("six_month", "", active & _offered("contract_6_month_raw"))))
+    each = state.select(F.explode(items).alias("c"), (F.lit(1) if sign is None else sign).alias("n"))
+    return folded(each.select("c.counter", "c.detail", "n"))
+
+
+def folded(differences: DataFrame) -> DataFrame:
+    """Differences of any number of scans as one; what has become 0 is left out."""
+    return differences.groupBy("counter", "detail").agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def public_from_tally(counts: DataFrame, as_of: Column, tz: str = dims.LOCAL_TZ) -> DataFrame:
+    """The same row as :func:`public_counters`."""
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+
+    counter = F.col("counter")
+    today = clock.local_day(clock.local_day_start(as_of, tz), tz)
+    return counts.agg(
+        total((counter == "status") & (F.col("detail") == "active")).alias("total_active"),
+        total((counter == "first_seen") & (F.col("detail") >= today.cast("string"))).alias("new_today"),
+        total(counter == "monthly").alias("monthly_contract_count"),
+        total(counter == "three_month").alias("three_month_contract_count"),
+        total(counter == "six_month").alias("six_month_contract_count"),
+        total((counter == "status") & (F.col("detail") == "removed")).alias("total_removed"),
+    )
+
+
+def provinces_from_tally(counts: DataFrame) -> DataFrame:
+    """The same rows as :func:`by_province`."""
+    label = F.coalesce(F.nullif(F.col("detail"), F.lit("")), F.lit("Unknown"))
+    return counts.filter("counter = 'province'").select(
+        label.alias("province"), F.col("n").alias("listings")).orderBy(F.desc("listings"), "province")
+
+
+def facets_from_tally(counts: DataFrame) -> DataFrame:
+    """The same rows as :func:`lodgetrail.operators.location.city_facets`."""
+    place = F.from_json("detail", "city string, quarter string")
+    spelled = counts.filter("counter = 'place'").select(place.alias("p"), "n").select("p.city", "p.quarter", "n")
+    return location.roll_up(spelled)
+
+
 def changed_today(history: DataFrame, as_of: Column, tz: str = dims.LOCAL_TZ, listing: str = "slug") -> DataFrame:
     """Distinct listings per change type since local midnight.
 

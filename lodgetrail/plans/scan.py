@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,9 @@ from pyspark.sql import types as T
 from lodgetrail import dims, schemas
 from lodgetrail.functions import clock
 from lodgetrail.operators import collect, images as image_ops, merge
+from lodgetrail.plans import counters
 from lodgetrail.plans.exports import with_change_date
+from lodgetrail.plans.runs import FAN_IN, RunTable, run_id
 from lodgetrail.sources import details as detail_pages
 from lodgetrail.sources import pages as list_pages
 
@@ -68,20 +71,39 @@ _LOG_SCHEMA = (
     "new_count bigint, updated_count bigint, price_changed_count bigint, removed_count bigint, "
     "monthly_count bigint, error_count bigint, removals_checked boolean, error_message string"
 )
+# What a version is made of: runs per table, trusted scans so far, stored and active listings.
+_VERSION_SCHEMA = (
+    f"{_LOG_SCHEMA}, trusted bigint, listings bigint, active bigint, delta_rows bigint, "
+    "runs struct<state:array<bigint>,images:array<bigint>,history:array<bigint>,counts:array<bigint>>"
+)
+_TABLES = ("state", "images", "history", "counts")
+
+#: Stored beside a listing: its misses minus the trusted scans when it was written. Adding the trusted scans of a later
+#: version gives its misses then, so a listing that no scan saw needs no new row until it is removed.
+_DUE = "due_key"
+_ROW_SCHEMA = T.StructType([*schemas.STATE_SCHEMA.fields, T.StructField(_DUE, T.LongType())])
+_DATED_SCHEMA = T.StructType([*schemas.HISTORY_SCHEMA.fields, T.StructField("change_date", T.DateType())])
+
+# Deltas after which a new base is written, however small they are.
+_MOST_DELTAS = 24
 
 
 class TrackingStore:
     """Versioned tables of one tracked site under a root path.
 
-    ``state/v=<n>`` is bucketed by slug: each merge reads it without a shuffle
-    and writes the next version with the same buckets. ``images/scan=<n>`` and
-    ``history/scan=<n>`` hold only the rows a scan added. A manifest names
-    the committed version and is written last, so a failed or repeated scan
-    leaves the previous version in force and overwrites its own leftovers.
+    All tables consist of runs bucketed by slug (``plans/runs.py``). The state is a base run and the deltas since: a scan
+    writes the listings it saw or removed, and reads only what is stored of those. When the deltas reach half of the
+    listings, the scan writes a new base. Images and history get one run per scan, and eight runs of a size become one.
+    Counters are signed differences per scan, folded on reading. A manifest names the runs of each version and is
+    written last, so a failed or repeated scan leaves the previous version in force and overwrites its own leftovers.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 32) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self._state = RunTable(spark, f"{self.root}/state", _ROW_SCHEMA, buckets)
+        self._images = RunTable(spark, f"{self.root}/images", schemas.IMAGE_SCHEMA, buckets, order=("position",))
+        self._history = RunTable(spark, f"{self.root}/history", _DATED_SCHEMA, buckets, order=("changed_at",))
+        self._counts = RunTable(spark, f"{self.root}/counts", T.StructType.fromDDL(counters.TALLY), 1, key="counter", order=("detail",))
 
     # -- manifests -------------------------------------------------------------
     # One small JSON file per scan attempt. The newest names the version in
@@ -99,12 +121,21 @@ class TrackingStore:
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def version(self) -> int:
+    def _version(self, version: int | None = None) -> dict:
+        """The manifest entry of a version (the one in force), as plain values."""
         numbers = self._manifest_numbers()
-        if not numbers:
-            return 0
-        newest = self.spark.read.schema(_LOG_SCHEMA).json(f"{self.root}/manifests/{numbers[-1]:010d}.json")
-        return newest.first().version
+        empty = {"version": 0, "trusted": 0, "listings": 0, "active": 0, "delta_rows": 0, "runs": {t: [] for t in _TABLES}}
+        if not numbers or version == 0:
+            return empty
+        name = f"{numbers[-1]:010d}" if version is None else "*"
+        entries = self.spark.read.schema(_VERSION_SCHEMA).json(f"{self.root}/manifests/{name}.json")
+        found = entries.filter(F.lit(True) if version is None else (F.col("version") == version) & (F.col("status") == "completed")).first()
+        if found is None:
+            raise ValueError(f"there is no version {version}")
+        return found.asDict(recursive=True) | ({} if found.runs else {"runs": empty["runs"]})
+
+    def version(self) -> int:
+        return self._version()["version"]
 
     def scan_log(self) -> DataFrame:
         if not self._manifest_numbers():
@@ -126,40 +157,31 @@ class TrackingStore:
 
     # -- tables --------------------------------------------------------------
 
-    def _table_name(self, scan_id: int) -> str:
-        from hashlib import md5
+    def _stored(self, version: dict) -> DataFrame:
+        """The newest row of each listing, with its misses as of the version.
 
-        return f"lodgetrail_state_{md5(self.root.encode()).hexdigest()[:12]}_v{scan_id}"
+        A row gives way to a newer one of its bucket: no shuffle and no sort, the newer slugs are hashed.
+        """
+        runs = version["runs"]["state"]
+        rows = self._state.read(runs)
+        if len(runs) > 1:
+            newest = self._state.read(runs[1:]).groupBy("slug").agg(F.max("run").alias("_newest")).hint("shuffle_hash")
+            rows = rows.alias("r").join(newest.alias("n"), (F.col("r.slug") == F.col("n.slug")) & (F.col("r.run") < F.col("n._newest")), "left_anti")
+        misses = F.when(F.col("status") == "active", F.col(_DUE) + version["trusted"]).otherwise(F.col("missing_scan_count"))
+        return rows.withColumn("missing_scan_count", misses)
 
     def state(self, scan_id: int | None = None) -> DataFrame:
-        version = self.version() if scan_id is None else scan_id
-        if version == 0:
-            return self.spark.createDataFrame([], schemas.STATE_SCHEMA)
-        name = self._table_name(version)
-        if not self.spark.catalog.tableExists(name):
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schemas.STATE_SCHEMA.fields)
-            self.spark.sql(
-                f"CREATE TABLE {name} ({columns}) USING parquet "
-                f"CLUSTERED BY (slug) SORTED BY (slug) INTO {self.buckets} BUCKETS "
-                f"LOCATION '{self.root}/state/v={version}'")
-        return self.spark.table(name)
-
-    def _appended(self, table: str, fields: list[T.StructField]) -> DataFrame:
-        version = self.version()
-        wanted = T.StructType(fields)
-        if version == 0:
-            return self.spark.createDataFrame([], wanted)
-        schema = T.StructType([*fields, T.StructField("scan", T.LongType())])
-        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
-        # Rows of a scan that never committed are beyond the version in force.
-        return rows.filter(F.col("scan") <= version).select(*wanted.names)
+        return self._stored(self._version(scan_id)).select(*schemas.STATE_SCHEMA.names)
 
     def images(self) -> DataFrame:
-        return self._appended("images", schemas.IMAGE_SCHEMA.fields)
+        return self._images.read(self._version()["runs"]["images"]).drop("run")
 
     def history(self) -> DataFrame:
-        dated = [*schemas.HISTORY_SCHEMA.fields, T.StructField("change_date", T.DateType())]
-        return self._appended("history", dated)
+        return self._history.read(self._version()["runs"]["history"]).drop("run")
+
+    def tally(self) -> DataFrame:
+        """Listings per counter and detail, folded from what each scan changed; no stored listing is read."""
+        return counters.folded(self._counts.read(self._version()["runs"]["counts"]))
 
     # -- the scan ------------------------------------------------------------
 
@@ -177,77 +199,137 @@ class TrackingStore:
             (F.col("batch_key") == batch_key) & (F.col("status") == "completed")
         ).isEmpty():
             return None
-        version = self.version()
-        entry = {"scan_id": version + 1, "batch_key": batch_key, "started_at": scan_time}
+        before = self._version()
+        scan_id = before["version"] + 1
+        entry = {"scan_id": scan_id, "batch_key": batch_key, "started_at": scan_time}
         try:
-            counters, checked = self._write_version(
-                version + 1, batch, clock.instant(scan_time), complete, threshold, minimum)
+            after, checked = self._write_version(before, scan_id, batch, clock.instant(scan_time), complete, threshold, minimum)
         except Exception as error:
-            self._write_manifest(
-                {**entry, "version": version, "status": "failed", "error_message": str(error)[:2000]})
+            held = {k: before[k] for k in ("version", "trusted", "listings", "active", "delta_rows", "runs")}
+            self._write_manifest({**entry, **held, "status": "failed", "error_message": str(error)[:2000]})
             raise
-        self._write_manifest({
-            **entry, "version": version + 1, "status": "completed", "removals_checked": checked, **counters})
-        self._delete(f"staging/scan={version + 1}")
-        return ScanOutcome(version + 1, "completed", counters, checked)
+        self._write_manifest({**entry, "version": scan_id, "status": "completed", "removals_checked": checked, **after})
+        self._delete(f"staging/scan={scan_id}")
+        names = [f.split()[0] for f in _LOG_SCHEMA.split(", ")]
+        return ScanOutcome(scan_id, "completed", {k: v for k, v in after.items() if k in names}, checked)
 
     def seed(self, state: DataFrame) -> None:
         """Take over listings tracked elsewhere as the first version."""
         if self.version():
             raise ValueError("the store already holds listings")
-        self._write_state(state, 1)
-        for table, schema in (("images", schemas.IMAGE_SCHEMA), ("history", schemas.HISTORY_SCHEMA)):
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.root}/{table}/scan=1")
-        self._write_manifest({"scan_id": 1, "version": 1, "status": "completed"})
-
-    def _write_state(self, state: DataFrame, version: int) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(version)}")
-        (
-            state.repartition(self.buckets, "slug")
-            .write.mode("overwrite").format("parquet").bucketBy(self.buckets, "slug").sortBy("slug")
-            .option("path", f"{self.root}/state/v={version}").saveAsTable(self._table_name(version))
-        )
-
-    def _stage(self, scan_id: int, upserts: DataFrame) -> DataFrame:
-        """The joined scan as a table: it feeds the coverage test and four writes."""
-        path = f"{self.root}/staging/scan={scan_id}"
-        upserts.write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(upserts.schema).parquet(path)
+        self._state.write(run_id(1), _with_due(state, 0))
+        stored = self._state.read([run_id(1)])
+        self._counts.write(run_id(1), counters.tally(stored))
+        known = _totals(counters.folded(self._counts.read([run_id(1)])))
+        runs = {"state": [run_id(1)], "images": [], "history": [], "counts": [run_id(1)]}
+        self._write_manifest({"scan_id": 1, "version": 1, "status": "completed", "trusted": 0, **known, "delta_rows": 0, "runs": runs})
+
+    def _stage(self, scan_id: int, name: str, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/staging/scan={scan_id}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def _delete(self, relative: str) -> None:
         fs, _ = self._manifest_dir()
         fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{relative}"), True)
 
-    def drop_old_states(self, keep: int = 2) -> None:
-        """Forget state versions older than the newest ``keep``; history and images stay."""
-        fs, folder = self._manifest_dir()
-        states = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/state")
-        if not fs.exists(states):
+    def drop_old_versions(self, keep: int = 2) -> None:
+        """Delete runs that none of the newest ``keep`` versions is made of; history and images stay readable."""
+        newest = self.version()
+        if not newest:
             return
-        versions = [int(f.getPath().getName().removeprefix("v=")) for f in fs.listStatus(states)]
-        for v in (v for v in versions if v <= self.version() - keep):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._table_name(v)}")
-            self._delete(f"state/v={v}")
+        used = [self._version(v)["runs"] for v in range(max(1, newest - keep + 1), newest + 1)]
+        fs, _ = self._manifest_dir()
+        for table in _TABLES:
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            wanted = {r for runs in used for r in runs[table]}
+            for f in fs.listStatus(folder) if fs.exists(folder) else ():
+                name = f.getPath().getName()
+                if name.startswith("run=") and int(name[4:]) not in wanted:
+                    self._delete(f"{table}/{name}")
+            getattr(self, f"_{table}")._listed.clear()
+
+    def _touched(self, before: dict, slugs: DataFrame, threshold: int) -> DataFrame:
+        """Stored listings a scan may change: those it names, and those one more miss removes."""
+        stored = self._stored(before)
+        named = stored.join(slugs.hint("shuffle_hash"), "slug", "left_semi")
+        due = stored.filter((F.col("status") == "active") & (F.col(_DUE) >= threshold - before["trusted"] - 1))
+        return named.unionByName(due.join(slugs.hint("shuffle_hash"), "slug", "left_anti")).select(*schemas.STATE_SCHEMA.names)
 
     def _write_version(
-        self, scan_id: int, batch: DataFrame, at: Column, complete: bool, threshold: int,
-        minimum: float,
+        self, before: dict, scan_id: int, batch: DataFrame, at: Column, complete: bool, threshold: int, minimum: float,
     ) -> tuple[dict, bool]:
-        upserted = self._stage(scan_id, merge.upsert(self.state(), batch, at, carry=("images", "thumbnail_url")))
-        twice = upserted.groupBy("slug").count().filter("count > 1").first()
-        if twice is not None:
+        batch = self._stage(scan_id, "batch", batch)
+        slugs = batch.select("slug").distinct()
+        known = self._stage(scan_id, "known", self._touched(before, slugs, threshold))
+        upserted = self._stage(scan_id, "upserted", merge.upsert(known, batch, at, carry=("images", "thumbnail_url")))
+        # Everything the scan decides on and logs, in one pass; whether it is trusted only matters for removals.
+        decision = merge.classify(merge.count_missing(upserted, F.lit(True), threshold))
+        saw = decision.agg(
+            F.count_if("was_seen").alias("seen"), F.count_distinct(F.when(F.col("was_seen"), F.col("slug"))).alias("slugs"),
+            F.count_if(F.expr("was_applied AND NOT old_status <=> 'active'")).alias("newly"),
+            F.count_if(F.expr("was_applied AND NOT was_known")).alias("fresh"),
+            F.count_if(F.expr("was_seen AND (was_known OR was_applied)")).alias("rows"),
+            F.struct(*merge.counter_columns()).alias("log")).first()
+        if saw.seen != saw.slugs:
+            twice = batch.groupBy("slug").count().filter("count > 1").first()
             raise ValueError(f"the batch holds {twice.slug} {twice['count']} times")
-        seen = merge.coverage(upserted).first()
-        trusted = bool(complete and (seen.active == 0 or seen.seen >= seen.active * minimum))
-        decision = merge.classify(merge.count_missing(upserted, F.lit(trusted), threshold))
-
-        self._write_state(merge.new_state(decision), scan_id)
+        active = before["active"] + saw.newly
+        trusted = bool(complete and (active == 0 or saw.seen >= active * minimum))
+        logged = saw.log.asDict()
+        if not trusted:
+            decision = merge.classify(merge.count_missing(upserted, F.lit(False), threshold))
+            logged["removed_count"] = 0
+        now = before["trusted"] + trusted
+        changed = merge.new_state(decision.filter("was_seen OR was_removed"))
+
+        runs = {**before["runs"]}
+        listings = before["listings"] + saw.fresh
+        pending = before["delta_rows"] + saw.rows + logged["removed_count"] if runs["state"] else listings
+        if 2 * pending >= listings or len(runs["state"]) > _MOST_DELTAS:
+            gone = decision.filter("was_seen OR was_removed").select("slug").hint("shuffle_hash")
+            rest = self._stored(before).select(*schemas.STATE_SCHEMA.names).join(gone, "slug", "left_anti")
+            # Who was not seen keeps its due key: this scan, if trusted, is one more miss.
+            rows = _with_due(changed, now).unionByName(_with_due(rest, before["trusted"]))
+            runs["state"], pending = [run_id(scan_id)], 0
+        else:
+            rows = _with_due(changed, now)
+            runs["state"] = [*runs["state"], run_id(scan_id)]
         applied = upserted.filter("was_applied").select("slug", "images", "thumbnail_url", "was_known")
-        image_ops.new_image_rows(applied, self.images()).write.mode("overwrite").parquet(
-            f"{self.root}/images/scan={scan_id}")
-        with_change_date(merge.history_rows(decision, at)).write.mode("overwrite").partitionBy(
-            "change_date").parquet(f"{self.root}/history/scan={scan_id}")
-        return merge.scan_counters(decision).first().asDict(), trusted
+        shown = self._images.read(runs["images"]).join(slugs.hint("shuffle_hash"), "slug", "left_semi")
+        found = image_ops.new_image_rows(applied, shown)
+        events = with_change_date(merge.history_rows(decision, at))
+        sides = merge.new_state(decision).withColumn("_sign", F.lit(1)).unionByName(known.withColumn("_sign", F.lit(-1)))
+        tally = counters.tally(sides, F.col("_sign"))
+        # The tables are written at the same time; each job is small beside the cluster.
+        with ThreadPoolExecutor(4) as pool:
+            state = pool.submit(self._state.write, run_id(scan_id), rows)
+            later = {"images": pool.submit(self._images.appended, runs["images"], scan_id, found),
+                     "history": pool.submit(self._history.appended, runs["history"], scan_id, events),
+                     "counts": pool.submit(self._appended_counts, runs["counts"], scan_id, tally)}
+        state.result()
+        runs |= {table: done.result() for table, done in later.items()}
+        totals = {"listings": listings, "active": active - logged["removed_count"]}
+        return {**logged, **totals, "trusted": now, "delta_rows": pending, "runs": runs}, trusted
+
+    def _appended_counts(self, runs: list[int], scan_id: int, rows: DataFrame) -> list[int]:
+        """Differences are summed, not only put together, once there are many."""
+        if len(runs) < FAN_IN:
+            self._counts.write(run_id(scan_id), rows)
+            return [*runs, run_id(scan_id)]
+        self._counts.write(run_id(scan_id), counters.folded(self._counts.read(runs).drop("run").unionByName(rows)))
+        return [run_id(scan_id)]
+
+
+def _with_due(state: DataFrame, trusted: int) -> DataFrame:
+    due = F.when(F.col("status") == "active", F.coalesce("missing_scan_count", F.lit(0)) - trusted)
+    return state.withColumn(_DUE, due.cast("bigint"))
+
+
+def _totals(tally: DataFrame) -> dict:
+    """Stored and active listings, of which a version keeps count."""
+    n = {r.detail: r.n for r in tally.filter("counter = 'status'").collect()}
+    return {"listings": sum(n.values()), "active": n.get("active", 0)}
 
 
 def run_scan(

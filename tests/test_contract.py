@@ -25,7 +25,9 @@ def test_every_operator_is_registered():
         + ["M1", "M2", "M3a", "M3b"] + [f"M{i}" for i in range(4, 26)] + [f"Q{i}" for i in range(1, 12)] + [f"T{i}" for i in range(1, 7)])
     have = {n.split("_")[0] for n in names}
     assert [w for w in wanted if w not in have] == []
-    assert names - set(entry.oracle_sql()) == NO_TWIN
+    # The operators for training text say for themselves which of them SQL can express.
+    own = {n for n in names if not re.match(r"op\d+_|pipeline$", n)}
+    assert own - set(entry.oracle_sql()) == NO_TWIN
 
 
 @needs_data

@@ -17,6 +17,7 @@ import re
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,10 @@ from lodgetrail.llm.common import byte_symbols, small_batches, texts
 
 #: Runs, words and fragments remembered per task; past it a memory is emptied and filled anew. Results don't depend on it.
 MEMORY = 500_000
+#: Words and fragments of more symbols are not remembered.
+LONGEST = 256
+#: Fragments of more symbols are merged with a heap, in n log n steps; for shorter ones a scan is faster.
+SHORT = 48
 # Every tokenizer here treats these as white space.
 _SOLID = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 # Latin-1 without controls and spaces, and the file's pattern for lower-cased Latin-1.
@@ -100,6 +105,8 @@ class ForcedBoundaryBpe:
         """Merge by rank, leftmost first, until no pair has a rank."""
         rank, vocab = self.rank.get, self.vocab
         ids = [vocab[s] for s in symbols if s in vocab]
+        if len(ids) > SHORT:
+            return self._merge_long(ids)
         ranks = [rank(pair, _NEVER) for pair in zip(ids, ids[1:], strict=False)]
         while ranks and (best := min(ranks)) != _NEVER:
             i = ranks.index(best)
@@ -111,6 +118,26 @@ class ForcedBoundaryBpe:
                 ranks[i] = rank((ids[i], ids[i + 1]), _NEVER)
         return ids
 
+    def _merge_long(self, ids: list[int]) -> list[int]:
+        """The same for many symbols: pairs wait in a heap by rank and place, neighbours are linked."""
+        rank, n = self.rank.get, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank((ids[i], ids[i + 1]))) is not None]
+        heapify(heap)
+        while heap:
+            best, i, left, right = heappop(heap)
+            j = after[i]
+            if ids[i] != left or j < 0 or ids[j] != right:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = best & _ID_MASK, -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+            for a, b in ((before[i], i), (i, k)):
+                if a >= 0 and b >= 0 and (r := rank((ids[a], ids[b]))) is not None:
+                    heappush(heap, (r, a, ids[a], ids[b]))
+        return [t for t in ids if t >= 0]
+
     def _word(self, word: str) -> list[int]:
         known = self._words.get(word)
         if known is not None:
@@ -121,14 +148,15 @@ class ForcedBoundaryBpe:
             part = self._fragments.get(key)
             if part is None:
                 part = self._merge(fragment)
-                if len(key) < len(word):  # a whole word is remembered as such
+                if len(key) < len(word) and len(key) <= LONGEST:  # a whole word is remembered as such
                     if len(self._fragments) >= MEMORY:
                         self._fragments.clear()
                     self._fragments[key] = part
             ids.extend(part)
-        if len(self._words) >= MEMORY:
-            self._words.clear()
-        self._words[word] = ids
+        if len(word) <= LONGEST:
+            if len(self._words) >= MEMORY:
+                self._words.clear()
+            self._words[word] = ids
         return ids
 
     def words(self, part: str) -> list[str]:

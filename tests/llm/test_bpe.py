@@ -49,6 +49,30 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert bpe.ForcedBoundaryBpe(PATH).encode(text) == whole
 
 
+def test_long_runs_equal_the_library(library):
+    import random
+    import time
+
+    model = bpe.ForcedBoundaryBpe(PATH)
+    rng = random.Random(8)
+    start = time.perf_counter()
+    for text in ("a" * 1_000_000, "abc" * 5000, "".join(rng.choice("aeiost") for _ in range(60_000)), "é" * 9000 + "x", "".join(rng.choice("0a.") for _ in range(5000))):
+        import numpy as np
+
+        assert np.frombuffer(model.encode(text), dtype="<i4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert time.perf_counter() - start < 60
+    assert all(len(w) <= bpe.LONGEST for w in model._words) and all(len(f) <= bpe.LONGEST for f in model._fragments)
+
+
+def test_both_ways_of_merging_agree():
+    import random
+
+    model, rng = bpe.ForcedBoundaryBpe(PATH), random.Random(9)
+    for _ in range(3000):
+        symbols = [rng.choice("etaoinshr") for _ in range(rng.randrange(1, 40))]
+        assert model._merge(symbols) == model._merge_long([model.vocab[x] for x in symbols])
+
+
 def test_no_rows(spark):
     assert bpe.encode_decode(docs(spark, []), PATH).count() == 0
 

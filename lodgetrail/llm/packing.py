@@ -192,21 +192,25 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
 def pack(df: DataFrame, capacity: int = 1024) -> DataFrame:
     """Place the rows of ``df`` by their ``length`` (1 to ``capacity``) into sequences.
 
-    Adds ``sequence_id`` (from 0) and ``offset``, gapless from 0 within a sequence. Every row is placed, repeated rows
-    too; an empty table gives an empty table; other columns pass through.
+    Adds ``sequence_id`` (from 0) and ``offset``, gapless from 0 within a sequence; columns of these names are replaced.
+    Every row is placed, repeated rows too; an empty table gives an empty table; all other columns pass through,
+    whatever their names.
     """
     spark = df.sparkSession
-    rows = stage(df.withColumn("_uid", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_uid", 33)), "pieces")
-    local = rows.withColumn("_k", F.row_number().over(Window.partitionBy("_part", "length").orderBy("_uid")) - 1)
-    by_part = rows.groupBy("_part", "length").agg(F.count("*").alias("_n"))
+    own = [c for c in df.columns if c not in ("sequence_id", "offset")]
+    # The caller's columns travel in one, so theirs and ours don't meet.
+    rows = df.select(F.struct(*(df[c] for c in own)).alias("row"), df["length"].cast("long").alias("length"), F.monotonically_increasing_id().alias("uid"))
+    rows = stage(rows.withColumn("part", F.shiftright("uid", 33)), "pieces")
+    local = rows.withColumn("k", F.row_number().over(Window.partitionBy("part", "length").orderBy("uid")) - 1)
+    by_part = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
     counts = {int(r[0]): int(r[1]) for r in rows.groupBy("length").count().collect()}  # at most ``capacity`` rows
     made = plan(counts, capacity)
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = by_part.select("_part", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     runs = spark.createDataFrame(
-        made.runs, "_length long, _rank long, _count long, _sequence long, offset long")
-    ranked = local.join(bases, ["_part", "length"]).withColumn("_r", F.col("_k") + F.col("_base"))
+        made.runs, "run_length long, rank long, times long, sequence long, offset long")
+    ranked = local.join(bases, ["part", "length"]).withColumn("r", F.col("k") + F.col("base"))
     # At most a few entries per length: bounded by the capacity, not by the rows.
-    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("_length")) & (F.col("_r") >= F.col("_rank"))
-                         & (F.col("_r") < F.col("_rank") + F.col("_count")))
-    return placed.select(*(rows[c] for c in df.columns), (F.col("_sequence") + F.col("_r") - F.col("_rank")).alias("sequence_id"), "offset")
+    placed = ranked.join(F.broadcast(runs), (F.col("length") == F.col("run_length")) & (F.col("r") >= F.col("rank"))
+                         & (F.col("r") < F.col("rank") + F.col("times")))
+    return placed.select(*(F.col("row").getField(c).alias(c) for c in own), (F.col("sequence") + F.col("r") - F.col("rank")).alias("sequence_id"), "offset")

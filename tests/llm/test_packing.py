@@ -75,3 +75,25 @@ def test_no_rows_and_too_long_pieces(spark):
     assert packing.pack(packing.pieces(docs(spark, []), PATH), 1024).count() == 0
     with pytest.raises(ValueError):
         packing.plan({11: 1}, 10)
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from pyspark.sql import functions as F
+
+    names = ["uid", "part", "k", "row", "base", "r", "rank", "times", "run_length", "sequence", "_uid", "_part", "_k", "_r"]
+    table = spark.range(50).select((F.col("id") % 9 + 1).alias("length"), *(F.concat(F.lit(n), "id").alias(n) for n in names),
+                                   F.lit("mine").alias("offset"), F.lit("mine").alias("sequence_id"))
+    out = packing.pack(table, 10)
+    assert out.columns == ["length", *names, "sequence_id", "offset"]
+    rows = out.collect()
+    assert sorted(r.uid for r in rows) == sorted(f"uid{i}" for i in range(50))
+    assert {r.uid[3:]: r.rank[4:] for r in rows} == {str(i): str(i) for i in range(50)}
+    taken = {}
+    for r in rows:
+        taken.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in taken.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 10

@@ -111,9 +111,9 @@ def _with_sets(sets: DataFrame, wanted: DataFrame, fields: str, emit: Callable[[
             out: list[tuple] = []
             for row, blob in zip(batch.select(["doc", *extra]).to_pylist(), batch.column("shingles").to_pylist(), strict=True):
                 out += emit(row, np.frombuffer(blob, dtype=np.uint64))
-                if len(out) >= 4000:
-                    yield record(out)
-                    out = []
+                while len(out) >= 4000:
+                    yield record(out[:4000])
+                    out = out[4000:]
             if out:
                 yield record(out)
 
@@ -123,20 +123,14 @@ def _with_sets(sets: DataFrame, wanted: DataFrame, fields: str, emit: Callable[[
 def _confirm(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     """Pairs (``hub``, ``doc``) with 100 * intersection >= threshold * union of their full sets.
 
-    The members of a hub are dealt to groups of about ``STAR``; the hub's set goes to each. A group is read in order,
-    hub first, so a task holds one hub's set and one batch.
+    The members of a hub are dealt to groups of about ``STAR``; the hub's set goes to each, one joined row per group. A group
+    is read in order, hub first, so a task holds one hub's set and one batch.
     """
     degree = stage(pairs.groupBy("hub").count(), "star-size")
     dealt = stage(pairs.join(degree, "hub").select("hub", "doc", F.pmod(F.xxhash64("doc"), F.ceil(F.col("count") / STAR)).cast("int").alias("salt")), "stars")
     hubs = dealt.select(F.col("hub").alias("doc"), "hub", "salt").distinct()
     roles = dealt.select("doc", "hub", "salt", F.lit(1).alias("role")).unionByName(hubs.withColumn("role", F.lit(0)))
-    wanted = roles.groupBy("doc").agg(F.collect_list(F.struct("hub", "salt", "role")).alias("roles"))
-
-    def emit(row: dict, found: np.ndarray) -> list[tuple]:
-        blob = found.tobytes()
-        return [(r["hub"], r["salt"], r["role"], row["doc"], blob) for r in row["roles"]]
-
-    rows = _with_sets(sets, wanted, "hub long, salt int, role int, doc long, shingles binary", emit)
+    rows = sets.select("doc", "shingles").join(roles, "doc").select("hub", "salt", "role", "doc", "shingles")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodgetrail.llm.common import words_of
+from lodgetrail.llm.common import smallest, words_of
 from lodgetrail.session import stage
 
 _RUN = r"[A-Za-z0-9+/=_\-]{16,}"
@@ -31,8 +31,8 @@ _PEM = r"(?s)-----BEGIN [A-Z ]{0,40}PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----|\z)
 _PLACEHOLDER = "example|sample|dummy|placeholder|changeme|xxxx|your"
 #: Labelled candidates the forest is grown on at most: those with the smallest hash.
 FIT_ROWS = 50_000
-#: The words that occur in most documents make the dictionary.
-DICTIONARY = 50_000
+#: A word is in the dictionary if at least this share of the documents, and two of them, hold it.
+DICTIONARY_SHARE = 1e-4
 THRESHOLD = 0.5
 #: An unnamed candidate is surely harmless if this share of it is dictionary words.
 PLAIN = 0.5
@@ -69,10 +69,13 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
 
 
 def dictionary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``piece``: the ``DICTIONARY`` lower-cased words of 3 to 24 letters that most documents hold."""
+    """``piece``: the lower-cased words of 3 to 24 letters in at least ``DICTIONARY_SHARE`` of the documents, and in two.
+
+    The share doesn't depend on how many documents or languages there are, so a value is covered alike at every size.
+    """
     words = F.array_distinct(F.transform(words_of(F.col(text)), lambda w: F.regexp_extract(F.lower(w), r"^\p{P}*(\p{L}{3,24})\p{P}*$", 1)))
     counted = docs.select(F.explode(words).alias("piece")).where("piece <> ''").groupBy("piece").count()
-    return counted.orderBy(F.desc("count"), "piece").limit(DICTIONARY).select("piece")
+    return counted.where(F.col("count") >= max(2, DICTIONARY_SHARE * docs.count())).select("piece")
 
 
 def _share(value: Column, pattern: str) -> Column:
@@ -94,7 +97,7 @@ def describe(found: DataFrame, known: DataFrame) -> DataFrame:
     })
     # Letters of the value that lie in dictionary words, by distinct value.
     pieces = found.select("value").distinct().select("value", F.explode(F.array_distinct(F.split(F.lower("value"), "[^a-z]+"))).alias("piece")).where(F.length("piece") >= 3)
-    held = pieces.join(F.broadcast(known), "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("_held"))  # the dictionary has a fixed size
+    held = pieces.join(known, "piece").groupBy("value").agg(F.sum(F.length("piece")).alias("_held"))
     row = row.join(stage(held, "covered-values"), "value", "left").withColumn("covered", F.least(F.lit(1.0), F.coalesce("_held", F.lit(0)) / F.length("value"))).drop("_held")
     sure = F.when((F.col("known") == 1) & (F.col("placeholder") == 0), 1.0)
     sure = sure.when((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("number") == 0) & (F.col("placeholder") == 0) & (F.col("length") >= 20), 1.0)
@@ -111,11 +114,13 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     source counts as the empty one; tables without candidates give no row. With labels of one kind only there is
     nothing to grow a forest on, and the sure rules alone decide.
     """
-    found = stage(describe(candidates(docs, key, text, source), stage(dictionary(docs, text), "dictionary")), "candidates")
+    # Staged before it is described: values and rows are both taken from it.
+    seen = stage(candidates(docs, key, text, source), "candidates")
+    found = stage(describe(seen, stage(dictionary(docs, text), "dictionary")), "described-candidates")
     # The origin's share of sure secrets; candidates are few against texts.
     rates = found.groupBy("source").agg((F.sum(F.when(F.col("label") == 1, 1).otherwise(0)) / F.count("*")).alias("source_rate"))
     found = stage(found.join(stage(rates, "source-rates"), "source"), "described")
-    known = found.where("label IS NOT NULL").orderBy(F.xxhash64("value", "key", "place"), "value", "key", "place", "nth").limit(FIT_ROWS)
+    known = smallest(found.where("label IS NOT NULL"), F.xxhash64("value", "key", "place"), ["value", "key", "place", "nth"], FIT_ROWS)
     assemble = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     known = stage(known, "labelled-findings")
     if known.select("label").distinct().count() < 2:

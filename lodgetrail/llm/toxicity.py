@@ -18,7 +18,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgetrail.llm.common import runs, small_batches, texts
+from lodgetrail.llm.common import runs, small_batches, smallest, texts
 from lodgetrail.session import stage
 
 ORDERS = (3, 4, 5)
@@ -92,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "do
     spark = docs.sparkSession
     small_batches(spark)
     known = labels.select(F.col(key).alias("_key"), F.col(label).cast("int").alias("_toxic"))
-    known = known.where("_key IS NOT NULL AND _toxic IN (0, 1)").orderBy(F.xxhash64("_key"), "_key", "_toxic").limit(FIT_ROWS)
+    known = smallest(known.where("_key IS NOT NULL AND _toxic IN (0, 1)"), F.xxhash64("_key"), ["_key", "_toxic"], FIT_ROWS)
     rows = stage(docs.select(F.col(key).alias("_key"), F.col(text).alias("text")).join(known, "_key").drop("_key"), "toxicity-fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -188,3 +188,16 @@ def ts_text(c: str) -> str:
 
 def joined(c: str) -> str:
     return f"COALESCE(array_to_string({c}, '|'), '')"
+
+#: Requests walked one after the other per client: an admitted one is remembered for the window.
+QUOTA = """
+WITH RECURSIVE r AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+walk AS (
+  SELECT DISTINCT user_id, NULL::BIGINT AS event_id, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS accepted, NULL::BOOLEAN AS admitted, NULL::BIGINT AS retry_after FROM events
+  UNION ALL
+  SELECT user_id, event_id, i, CASE WHEN len(live) < 3 THEN list_append(live, us) ELSE live END, len(live) < 3,
+    CASE WHEN len(live) >= 3 THEN greatest(1, (live[1] + 86400000000 - us) // 1000000 + 1) END
+  FROM (SELECT r.user_id, r.event_id, r.i, r.us, list_filter(walk.accepted, lambda a: a >= r.us - 86400000000) AS live
+    FROM walk JOIN r ON r.user_id = walk.user_id AND r.i = walk.i + 1))
+SELECT user_id AS client, event_id AS request_id, admitted, retry_after FROM walk WHERE event_id IS NOT NULL
+"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodgetrail import adapters, dims
 from lodgetrail.catalog.registry import query
 from lodgetrail.catalog.tracking import FOLDED, first_cards
-from lodgetrail.catalog.twins import FIRSTS, IMG, STEPS
+from lodgetrail.catalog.twins import FIRSTS, IMG, QUOTA, STEPS
 from lodgetrail.operators import accounts, images, limits, observe, ordered
 
 
@@ -92,7 +92,7 @@ def w8(spark, sf):
     return ranked.filter("_rank = 1").select("listing_id", "image_id", "image_url")
 
 
-@query("T4_quota_batch_form")
+@query("T4_quota_batch_form", QUOTA)
 def quota(spark, sf):
     admitted = limits.admit_requests(adapters.requests(spark, sf), limit=3, window_seconds=24 * 3600)
     return admitted.select("client", "request_id", "admitted", "retry_after")

@@ -60,10 +60,12 @@ class Admission:
 
 def admit_requests(
     requests: DataFrame, limit: int, window_seconds: int = dims.WINDOW_SECONDS,
-    client: str = "client", ts: str = "ts", tie: str = "request_id",
+    client: str = "client", ts: str = "ts", tie: str = "request_id", held: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``admitted`` and ``retry_after`` to every request.
 
+    ``held`` (client, ts) names instants admitted before; they count and come out no more.
+
     A request with at most ``limit`` requests (itself included) in its window
     passes whatever happened before. Only stretches around the others depend
     on what was admitted, and stretches further apart than the window are
@@ -72,6 +74,12 @@ def admit_requests(
     """
     cols = requests.columns
     window_us = window_seconds * 1_000_000
+    if held is not None:
+        before = held.select(*[
+            F.lit(None).cast(f.dataType).alias(f.name) if f.name not in (client, ts) else F.col(f.name) for f in requests.schema])
+        requests = requests.withColumn("_held", F.lit(False)).unionByName(before.withColumn("_held", F.lit(True)))
+    else:
+        requests = requests.withColumn("_held", F.lit(False))
     counted = sliding_count(requests, [client], ts, window_seconds, "_raw").withColumn(
         "_us", F.unix_micros(ts))
     over = counted.filter(F.col("_raw") > limit)
@@ -95,9 +103,9 @@ def admit_requests(
         & F.col("h._us").between(F.col("s._from"), F.col("s._to"))
     )
     placed = h.join(s, inside, "left").select(
-        *[F.col(f"h.{c}").alias(c) for c in cols], F.col("h._us").alias("_us"), F.col("s._from").alias("_stretch"))
+        *[F.col(f"h.{c}").alias(c) for c in cols], F.col("h._us").alias("_us"), F.col("h._held").alias("_held"), F.col("s._from").alias("_stretch"))
 
-    free = placed.filter(F.col("_stretch").isNull()).select(
+    free = placed.filter(F.col("_stretch").isNull() & ~F.col("_held")).select(
         *cols, F.lit(True).alias("admitted"), F.lit(None).cast("bigint").alias("retry_after"))
     tied = (
         placed.filter(F.col("_stretch").isNotNull())
@@ -109,13 +117,13 @@ def admit_requests(
         key, state = None, Admission(limit, window_us)
         for pdf in batches:
             waits = []
-            for c, s, us in zip(pdf[client], pdf["_stretch"], pdf["_us"]):
+            for c, s, us, was_held in zip(pdf[client], pdf["_stretch"], pdf["_us"], pdf["_held"]):
                 if (c, s) != key:
                     key, state = (c, s), Admission(limit, window_us)
-                waits.append(state.offer(us))
+                waits.append(state.accepted.append(us) if was_held else state.offer(us))
             out = pdf[cols].copy()
             out["admitted"] = [w is None for w in waits]
             out["retry_after"] = pd.array(waits, dtype="Int64")
-            yield out
+            yield out[~pdf["_held"]]
 
     return free.unionByName(tied.mapInPandas(walk, schema=free.schema))

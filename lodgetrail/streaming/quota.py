@@ -2,58 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
 
 from lodgetrail import dims
-from lodgetrail.operators.limits import Admission
+from lodgetrail.operators.limits import admit_requests
 
-# Rows handed on at once.
-_ROWS = 10_000
-_OUT = "client bigint, request_id bigint, ts timestamp, admitted boolean, retry_after bigint"
+_HELD = T.StructType([T.StructField("client", T.LongType()), T.StructField("ts", T.TimestampType())])
+_VERDICTS = "client bigint, request_id bigint, ts timestamp, admitted boolean, retry_after bigint"
 
 
-def admitted(
-    requests: DataFrame, limit: int = dims.ANONYMOUS_MAX_PER_MINUTE,
-    window_seconds: int = dims.WINDOW_SECONDS, delay: str = "1 minute",
-) -> DataFrame:
-    """Requests (client, request_id, ts) with their verdict.
+def judge_batches(
+    root: str, limit: int = dims.ANONYMOUS_MAX_PER_MINUTE, window_seconds: int = dims.WINDOW_SECONDS,
+    delay_seconds: int = 60,
+) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function: verdicts on the requests (client, request_id, ts) of each micro-batch.
 
-    The state of a client is the instants it was admitted at, at most ``limit``
-    of them; it expires once the window has passed without a request. The Arrow
-    batches of a client come in no order, so its instants and request numbers
-    (16 bytes a request) are gathered and sorted before the walk.
+    A micro-batch goes through the same ordered walk as a stored table, as sorted streams of Arrow batches, so
+    one busy client's requests are never gathered. What a batch leaves to the next are the instants admitted within the
+    window and ``delay_seconds`` before the newest request: at most ``limit`` per client and window. Both are tables
+    named by the batch id below ``root``, written whole, so a replayed batch finds the same past and writes
+    the same verdicts. Requests count in event order; a late one is judged by what was admitted before its instant.
     """
-    window_us = window_seconds * 1_000_000
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        gate = Admission(limit, window_us, state.get[0] if state.exists else ())
-        held = [(pdf["us"].to_numpy(), pdf["request_id"].to_numpy()) for pdf in batches]
-        us, request = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((request, us))
-        us, request, newest = us[order], request[order], int(us.max())
-        for at in range(0, len(us), _ROWS):
-            part = slice(at, at + _ROWS)
-            waits = [gate.offer(int(x)) for x in us[part]]
-            yield pd.DataFrame({
-                "client": key[0], "request_id": request[part], "ts": pd.to_datetime(us[part], unit="us"),
-                "admitted": [w is None for w in waits],
-                "retry_after": pd.array(waits, dtype="Int64"),
-            })
-        state.update((list(gate.accepted),))
-        state.setTimeoutTimestamp(max(newest + window_us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000)
-
-    return (
-        requests.withWatermark("ts", delay)
-        .select("client", "request_id", "ts", F.unix_micros("ts").alias("us"))
-        .groupBy("client")
-        .applyInPandasWithState(decide, _OUT, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def judge(requests: DataFrame, batch_id: int) -> None:
+        spark = requests.sparkSession
+        held = (
+            spark.read.schema(_HELD).parquet(f"{root}/held/{batch_id - 1}")
+            if batch_id else spark.createDataFrame([], _HELD))
+        verdicts = admit_requests(requests.select("client", "request_id", "ts"), limit, window_seconds, held=held)
+        verdicts.write.mode("overwrite").parquet(f"{root}/verdicts/batch={batch_id}")
+        judged = spark.read.schema(_VERDICTS).parquet(f"{root}/verdicts/batch={batch_id}")
+        known = held.unionByName(judged.filter("admitted").select("client", "ts"))
+        newest = known.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            known = known.filter(F.unix_micros("ts") >= F.unix_micros(F.lit(newest)) - (window_seconds + delay_seconds) * 1_000_000)
+        known.write.mode("overwrite").parquet(f"{root}/held/{batch_id}")
+
+    return judge
+
+
+def admitted(
+    requests: DataFrame, root: str, checkpoint: str, limit: int = dims.ANONYMOUS_MAX_PER_MINUTE,
+    window_seconds: int = dims.WINDOW_SECONDS, delay_seconds: int = 60,
+) -> DataFrame:
+    """Judge everything landed so far and return all verdicts; called again, it goes on where it stopped."""
+    query = (
+        requests.writeStream.foreachBatch(judge_batches(root, limit, window_seconds, delay_seconds))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return verdicts(requests.sparkSession, root)
+
+
+def verdicts(spark, root: str) -> DataFrame:
+    return spark.read.schema(f"{_VERDICTS}, batch bigint").parquet(f"{root}/verdicts").drop("batch")

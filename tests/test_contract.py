@@ -12,7 +12,6 @@ from lodgetrail.operators import contacts, images, location
 from lodgetrail.plans import exports, serving
 
 SF = "/root/testdata/sf0.001"
-NO_TWIN = {"T4_request_quota", "T4_quota_batch_form"}
 needs_data = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not present")
 
 
@@ -27,7 +26,7 @@ def test_every_operator_is_registered():
     assert [w for w in wanted if w not in have] == []
     # The operators for training text say for themselves which of them SQL can express.
     own = {n for n in names if not re.match(r"op\d+_|pipeline$", n)}
-    assert own - set(entry.oracle_sql()) == NO_TWIN
+    assert own - set(entry.oracle_sql()) == set()
 
 
 @needs_data

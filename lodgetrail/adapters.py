@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodgetrail.functions import clock
 from lodgetrail.functions.price import format_price
 from lodgetrail.functions.text import address_text
+from lodgetrail.operators.images import CORNERS
 from lodgetrail.session import stage
 
 AS_OF = "2024-01-30 12:00:00"
@@ -178,17 +179,18 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
+def four_bits(i: int) -> int:
+    """Bits 4i to 4i + 3 of a signed 64-bit number."""
+    return (15 << (4 * i)) - ((1 << 64) if i == 15 else 0)
 
 
 @remembered
 def corner_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as image corners: signs of eight sums of two, six bits per sign."""
+    """Embeddings as image corners: the signs of a corner's sixteen numbers, four bits each."""
     def corner_hash(corner: int) -> Column:
         bits = [
-            F.when(F.get("embedding", F.lit(at)) + F.get("embedding", F.lit(at + 1)) > 0, F.lit(63 << (6 * i)).cast("bigint"))
-            .otherwise(F.lit(0).cast("bigint"))
-            for i, at in enumerate(range(corner * 16, corner * 16 + 16, 2))
+            F.when(F.get("embedding", F.lit(corner * 16 + i)) > 0, F.lit(four_bits(i)).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            for i in range(16)
         ]
         total = bits[0]
         for b in bits[1:]:

@@ -352,12 +352,22 @@ linked AS (
 clusters AS (SELECT listing_id, corner, hash, sum(images)::BIGINT AS cluster_size FROM linked GROUP BY ALL)"""
 
 
+_CORNER_NO = " ".join(f"WHEN '{c}' THEN {n}" for n, c in enumerate(images.CORNERS))
+
+
 @query("M17_watermark_clusters", f"""
-WITH {LINKED},
-flagged AS (
-  SELECT DISTINCT l.listing_id, l.corner, l.near_hash AS hash FROM linked l
-  JOIN clusters c USING (listing_id, corner, hash) WHERE c.cluster_size >= 3)
-SELECT DISTINCT image_id FROM vec JOIN flagged USING (listing_id, corner, hash)
+WITH RECURSIVE {VEC},
+v AS (SELECT listing_id, image_id, hash, CASE corner {_CORNER_NO} END AS c FROM vec),
+cl AS (SELECT a.listing_id, a.c, a.image_id, list(b.image_id) AS members FROM v a JOIN v b ON a.listing_id = b.listing_id AND a.c = b.c
+  AND bit_count(xor(a.hash, b.hash)) <= 6 GROUP BY ALL HAVING count(*) >= 3),
+e AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY c, image_id) AS i FROM cl),
+walk AS (
+  SELECT DISTINCT listing_id, 0::BIGINT AS i, CAST([] AS BIGINT[]) AS flagged FROM e
+  UNION ALL
+  SELECT e.listing_id, e.i, CASE WHEN list_contains(flagged, e.image_id) THEN flagged ELSE list_distinct(list_concat(flagged, members)) END
+  FROM walk JOIN e ON e.listing_id = walk.listing_id AND e.i = walk.i + 1),
+ends AS (SELECT listing_id, max(i) AS i FROM walk GROUP BY listing_id)
+SELECT unnest(flagged) AS image_id FROM walk JOIN ends USING (listing_id, i)
 """)
 def m17(spark, sf):
     return images.watermarked_images(adapters.corner_hashes(spark, sf))

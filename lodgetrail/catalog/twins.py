@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from lodgetrail import dims
 from lodgetrail.adapters import (
-    AMENITY_RULES, AS_OF, CDN, CORNERS, PLACE_NAMES, SCAN_SECONDS, SEGMENT_DISTRICTS, SITE,
+    AMENITY_RULES, AS_OF, CDN, CORNERS, PLACE_NAMES, SCAN_SECONDS, SEGMENT_DISTRICTS, SITE, four_bits,
 )
 
 
@@ -129,8 +129,7 @@ img AS (
 
 def _corner_sql(corner: int) -> str:
     return " + ".join(
-        f"CASE WHEN embedding[{at + 1}] + embedding[{at + 2}] > 0 THEN {63 << (6 * i)}::BIGINT ELSE 0 END"
-        for i, at in enumerate(range(corner * 16, corner * 16 + 16, 2)))
+        f"CASE WHEN embedding[{corner * 16 + i + 1}] > 0 THEN ({four_bits(i)})::BIGINT ELSE 0 END" for i in range(16))
 
 
 VEC = "vec AS (" + " UNION ALL ".join(

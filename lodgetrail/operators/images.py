@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodgetrail import dims
 from lodgetrail.operators.ordered import row_numbers
+from lodgetrail.session import stage
 
 # Ordinals per chunk when positions are numbered: a listing with millions of
 # images is numbered in pieces of this size.
@@ -203,18 +205,56 @@ def cluster_sizes(hashes: DataFrame, links: DataFrame, group=("listing_id", "cor
         *group, "hash", "images", (F.col("images") + F.coalesce("_near", F.lit(0))).alias("cluster_size"))
 
 
+# fixed values: corners in the order they are analysed
+CORNERS = ("top_left", "top_right", "bottom_left", "bottom_right")
+
+
 def watermarked_images(
-    corners: DataFrame, distance: int = dims.HASH_DISTANCE_THRESHOLD,
-    minimum: int = dims.MIN_CLUSTER_SIZE, group=("listing_id", "corner"),
+    corners: DataFrame, distance: int = dims.HASH_DISTANCE_THRESHOLD, minimum: int = dims.MIN_CLUSTER_SIZE,
+    order: str = "image_id",
 ) -> DataFrame:
-    """Ids of images with a corner that belongs to a large enough cluster.
+    """Ids of images that a pass over their listing flags.
 
-    Every hash may be the centre of a cluster, so the result does not depend
-    on the order images were analysed in.
+    Corner by corner and, within one, image by image by ``order``: an image that is not flagged yet and has at least
+    ``minimum`` images (itself included) with a close hash in this corner flags them all. Links and cluster sizes are
+    joins on hash values. Only hashes in large clusters go on to the pass; a listing's images that agree on all of
+    these are one row, since they are only ever flagged together. So what meets in a task are a listing's different
+    combinations of shared corners, not its images.
     """
-    hashes = distinct_hashes(corners, group)
-    links = near_links(hashes, distance, group)
-    centres = cluster_sizes(hashes, links, group).filter(F.col("cluster_size") >= minimum).select(*group, "hash")
-    reached = links.join(centres, [*group, "hash"]).select(*group, F.col("near_hash").alias("hash"))
-    flagged = centres.unionByName(reached).distinct()
-    return corners.join(flagged, [*group, "hash"], "left_semi").select("image_id").distinct()
+    hashes = distinct_hashes(corners)
+    links = near_links(hashes, distance)
+    centres = cluster_sizes(hashes, links).filter(F.col("cluster_size") >= minimum).select("listing_id", "corner", "hash")
+    own = centres.select("*", F.col("hash").alias("near_hash"))
+    arms = stage(links.join(centres, ["listing_id", "corner", "hash"]).unionByName(own), "clusters")
+    shared = arms.select("listing_id", "corner", F.col("near_hash").alias("hash")).distinct()
+    met = corners.join(shared, ["listing_id", "corner", "hash"], "left_semi")
+    at = [F.max(F.when(F.col("corner") == c, F.col("hash"))).alias(c) for c in CORNERS]
+    combined = stage(met.groupBy("listing_id", "image_id", *([order] if order != "image_id" else [])).agg(*at), "corner-sets")
+    classes = combined.groupBy("listing_id", *CORNERS).agg(F.min(order).alias("first"))
+
+    def walk(images: pa.Table, arms: pa.Table) -> pa.Table:
+        images = images.sort_by("first")
+        own = [images.column(c).to_pylist() for c in CORNERS]
+        close: dict[tuple[str, int], list[int]] = {}
+        for corner, hash_, near in zip(*(arms.column(c).to_pylist() for c in ("corner", "hash", "near_hash"))):
+            close.setdefault((corner, hash_), []).append(near)
+        flagged = [False] * images.num_rows
+        for corner, values in zip(CORNERS, own):
+            holders: dict[int | None, list[int]] = {}
+            for k, v in enumerate(values):
+                holders.setdefault(v, []).append(k)
+            for k, v in enumerate(values):
+                if v is not None and not flagged[k]:
+                    for near in close.get((corner, v), ()):
+                        for other in holders.get(near, ()):
+                            flagged[other] = True
+        return images.select(["listing_id", *CORNERS]).filter(pa.array(flagged, pa.bool_()))
+
+    listing = corners.schema["listing_id"].dataType.simpleString()
+    found = classes.groupBy("listing_id").cogroup(arms.groupBy("listing_id")).applyInArrow(
+        walk, f"listing_id {listing}, " + ", ".join(f"{c} bigint" for c in CORNERS))
+    same = [combined[c].eqNullSafe(found[c]) for c in ("listing_id", *CORNERS)]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return combined.join(found, on, "left_semi").select("image_id").distinct()

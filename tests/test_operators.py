@@ -102,12 +102,39 @@ def test_watermark_clusters_equal_brute_force(spark, agree):
     got = {(r.listing_id, r.hash, r.near_hash) for r in images.near_links(hashes, agree=agree).collect()}
     own = {(r[1], r[3]) for r in rows}
     assert got == {(l, a, b) for l, a in own for m, b in own if l == m and a != b and near(a, b)}
+
+
+def greedy(rows):
+    """Images flagged by the pass, one after the other: rows of (image, listing, {corner: hash})."""
     flagged = set()
-    for _, l, _, h in rows:
-        members = [i for i, m, _, g in rows if m == l and near(h, g)]
-        if len(members) >= 3:
-            flagged.update(members)
-    assert {r.image_id for r in images.watermarked_images(corners).collect()} == flagged
+    for corner in images.CORNERS:
+        for i, l, own in rows:
+            if (l, i) in flagged or corner not in own:
+                continue
+            cluster = {(l, j) for j, m, other in rows if m == l and corner in other and near(own[corner], other[corner])}
+            if len(cluster) >= 3:
+                flagged |= cluster
+    return {i for _, i in flagged}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_watermarks_equal_the_pass_image_by_image(spark, seed):
+    rng = random.Random(seed)
+    seeds = [rng.getrandbits(64) for _ in range(9)]
+
+    def drawn():
+        h = rng.choice(seeds)
+        for _ in range(rng.choice([0, 1, 3, 4, 5, 6, 30])):
+            h ^= 1 << rng.randrange(64)
+        return h - 2**64 if h >> 63 else h
+
+    rows = [(i, i % 3, {c: drawn() for c in images.CORNERS if rng.random() < 0.8}) for i in range(150)]
+    rows += [(150 + i, 7, dict(rows[0][2])) for i in range(40)]  # copies
+    flat = [(i, l, c, h) for i, l, own in rows for c, h in own.items()]
+    corners = spark.createDataFrame(flat, "image_id bigint, listing_id bigint, corner string, hash bigint").repartition(3)
+    got = [r.image_id for r in images.watermarked_images(corners).collect()]
+    assert len(got) == len(set(got)) and set(got) == greedy(rows)
+    assert images.watermarked_images(corners.filter("image_id < 0")).count() == 0
 
 
 def test_masks_cover_every_close_pair():

@@ -83,7 +83,7 @@ def test_quota_keeps_its_state_between_batches(spark, landed, tmp_path):
 
 def test_a_replayed_batch_writes_the_same(spark, tmp_path):
     schema = "client bigint, request_id bigint, ts timestamp"
-    parts = [[(k % 2, 100 * n + k, START + timedelta(minutes=30 * n + k)) for k in range(40)] for n in range(3)]
+    parts = [[(k % 2, 100 * n + k, START + timedelta(minutes=40 * n + k)) for k in range(40)] for n in range(3)]
     judge = quota.judge_batches(str(tmp_path / "q"), limit=3, window_seconds=600)
     plain = lambda: sorted(map(str, quota.verdicts(spark, str(tmp_path / "q")).collect()))
     for n, part in enumerate(parts):

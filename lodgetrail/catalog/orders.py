@@ -10,8 +10,10 @@ from lodgetrail.catalog.joins import FEATURED
 from lodgetrail.catalog.registry import query
 from lodgetrail.catalog.twins import CAT, IMG, PLACES, contract_num
 from lodgetrail.functions import amenities
-from lodgetrail.operators import images, location, ordered
+from lodgetrail.operators import filters, images, location, ordered
 from lodgetrail.plans import exports, serving
+from lodgetrail.plans.paging import RankIndex
+from lodgetrail.session import new_work_dir
 
 
 def numbered(df, *cols):
@@ -31,6 +33,33 @@ def o1(spark, sf):
     return numbered(serving.page(cat, serving.newest_first(), 50, 100), "id")
 
 
+@adapters.remembered
+def newest_index(spark, sf) -> RankIndex:
+    """The catalogue stored newest first."""
+    return RankIndex.build(adapters.catalogue(spark, sf), serving.newest_first(), new_work_dir(spark, "rank"), rows_per_range=500)
+
+
+_PLACED = "o AS (SELECT *, row_number() OVER (ORDER BY source_updated_at DESC NULLS LAST, id DESC) AS place FROM cat)"
+
+
+@query("O1_deep_page", f"WITH {CAT}, {_PLACED} SELECT id, place FROM o WHERE place BETWEEN 976 AND 1025")
+def o1_deep(spark, sf):
+    return newest_index(spark, sf).page(50, 975).select("id", "place")
+
+
+@query("O1_deep_filtered_page", f"""
+WITH {CAT}, {_PLACED} SELECT id, place FROM o WHERE status = 'active' AND lower(province) = 'phuket' ORDER BY place LIMIT 20 OFFSET 10
+""")
+def o1_filtered(spark, sf):
+    wanted = filters.catalogue(province="Phuket", status="active")
+    return newest_index(spark, sf).page(20, 10, wanted).select("id", "place")
+
+
+@query("O1_page_after", f"WITH {CAT}, {_PLACED} SELECT id, place FROM o WHERE place > 640 AND has_monthly_contract = 'true' ORDER BY place LIMIT 50")
+def o1_after(spark, sf):
+    return newest_index(spark, sf).page_after(640, 50, F.col("has_monthly_contract") == "true").select("id", "place")
+
+
 @query("O2_export_order", f"WITH {CAT} SELECT id, province, price_monthly_min FROM cat WHERE status = 'active' ORDER BY province NULLS FIRST, price_monthly_min NULLS FIRST")
 def o2(spark, sf):
     return exports.export_rows(adapters.catalogue(spark, sf)).select("id", "province", "price_monthly_min")

@@ -11,6 +11,8 @@ from lodgetrail.functions import geo
 from lodgetrail.functions.price import contract_flag, is_short_term
 from lodgetrail.operators import collect, filters, images, repair
 from lodgetrail.plans import exports, serving
+from lodgetrail.plans.paging import MapIndex
+from lodgetrail.session import new_work_dir
 
 _AS_OF = f"TIMESTAMP '{adapters.AS_OF}'"
 
@@ -163,6 +165,17 @@ def f12(spark, sf):
     return adapters.catalogue(spark, sf).filter(filters.in_viewport(7, 9.5, 98, 101)).select("id")
 
 
+@adapters.remembered
+def located_index(spark, sf) -> MapIndex:
+    """The located listings stored by place."""
+    return MapIndex.build(adapters.catalogue(spark, sf), new_work_dir(spark, "map"), rows_per_part=200)
+
+
+@query("F12_viewport_by_index", f"WITH {CAT} SELECT id, latitude, longitude FROM cat WHERE latitude BETWEEN 7.25 AND 8.5 AND longitude BETWEEN 98 AND 99.75")
+def f12_index(spark, sf):
+    return located_index(spark, sf).viewport(7.25, 8.5, 98, 99.75).select("id", "latitude", "longitude")
+
+
 @query("F13_country_box", """
 SELECT c_custkey AS id, COALESCE(TRY_CAST(replace(replace((c_acctbal / 100)::VARCHAR, '.', ','), ',', '.') AS DOUBLE) BETWEEN 5 AND 21, false) AS inside
 FROM customer

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodgetrail import adapters, dims
 from lodgetrail.catalog.aggregates import FACETS, HIST, PUBLIC, history
-from lodgetrail.catalog.predicates import scans
+from lodgetrail.catalog.predicates import located_index, scans
 from lodgetrail.catalog.registry import query
 from lodgetrail.catalog.scalars import _HMAC, _price_of
 from lodgetrail.catalog.twins import CAT, IMG, OBS, PLACES, contract_num
@@ -112,6 +112,16 @@ def q7(spark, sf):
     return shown.orderBy(*serving.map_order("price_asc")).select("id", "latitude", "longitude")
 
 
+@query("Q7_map_view_by_index", f"""
+WITH {CAT}
+SELECT id, latitude, longitude FROM cat WHERE latitude BETWEEN 9 AND 13 AND longitude BETWEEN 99 AND 102
+  AND COALESCE(trim(contract_6_month_raw) NOT IN ('', '-'), false) AND list_contains(COALESCE(amenities, []), 'Parking')
+""")
+def q7_index(spark, sf):
+    inside = located_index(spark, sf).viewport(9, 13, 99, 102)
+    return serving.map_view(inside, duration="6 mois", wanted=("Parking",)).select("id", "latitude", "longitude")
+
+
 @query("Q8_city_map", f"""
 WITH {CAT}, p AS (SELECT *, COALESCE(contract_monthly_min, price_monthly_min) AS p FROM cat)
 SELECT id, latitude, longitude FROM p WHERE lower(province) = 'phuket' AND status = 'active' AND latitude IS NOT NULL AND longitude IS NOT NULL

@@ -11,6 +11,7 @@ from lodgetrail.catalog.registry import query
 from lodgetrail.catalog.twins import BILL, CAT, IMG, OBS, STEPS, VEC, ts_text
 from lodgetrail.functions import clock
 from lodgetrail.operators import accounts, collect, contacts, images, merge, observe, repair
+from lodgetrail.plans import counters
 from lodgetrail.session import new_work_dir, stage
 
 SCAN_AT = "2024-02-01 00:00:00"
@@ -266,6 +267,16 @@ def m11(spark, sf):
     return decision(spark, sf, complete=False).select("slug", "status", "missing_scan_count")
 
 
+def scanned_store(spark, sf):
+    """A store that took over the stored listings and merged one scan."""
+    from lodgetrail.plans.scan import TrackingStore
+
+    store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
+    store.seed(stored(spark, sf))
+    store.apply_scan(scanned(spark, sf), SCAN_AT)
+    return store
+
+
 @query("M12_scan_log", f"""
 WITH {MERGED}, c AS (SELECT *, {_CLASS} AS cls FROM fin)
 SELECT count(*) FILTER (cls = 'NEW') AS new_count, count(*) FILTER (cls = 'UPDATED') AS updated_count,
@@ -273,15 +284,29 @@ SELECT count(*) FILTER (cls = 'NEW') AS new_count, count(*) FILTER (cls = 'UPDAT
   'completed' AS status FROM c
 """)
 def m12(spark, sf):
-    from lodgetrail.plans.scan import TrackingStore
-
-    store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
-    store.seed(stored(spark, sf))
-    store.apply_scan(scanned(spark, sf), SCAN_AT)
-    return store.scan_log().filter("new_count IS NOT NULL").select(
+    return scanned_store(spark, sf).scan_log().filter("new_count IS NOT NULL").select(
         "new_count", "updated_count", "price_changed_count", "removed_count", "status")
 
 
+def _kept_contract(months: int) -> str:
+    raw = f"contract_{months}_month_raw"
+    return (f"CASE WHEN applied AND known AND NOT b.auth THEN COALESCE(b.{raw}, s.{raw}) WHEN applied THEN b.{raw} ELSE s.{raw} END NOT IN ('', '-')")
+
+
+@query("M12_counters_from_differences", f"""
+WITH {MERGED}, f AS (SELECT *, CASE WHEN was_removed THEN 'removed' ELSE up_status END AS status, {_kept_contract(3)} AS three, {_kept_contract(6)} AS six FROM fin)
+SELECT count(*) FILTER (status = 'active') AS total_active, count(*) FILTER (NOT known) AS new_today,
+  count(*) FILTER (status = 'active' AND has_monthly_contract = 'true') AS monthly_contract_count,
+  count(*) FILTER (status = 'active' AND COALESCE(three, false)) AS three_month_contract_count,
+  count(*) FILTER (status = 'active' AND COALESCE(six, false)) AS six_month_contract_count,
+  count(*) FILTER (status = 'removed') AS total_removed FROM f
+""")
+def m12_counters(spark, sf):
+    """Counters after a scan, from the counts of the stored listings and what the scan changed in them."""
+    tally = scanned_store(spark, sf).tally()
+    return counters.public_from_tally(tally, clock.instant("2024-02-01 12:00:00"))
+
+
 @query("M13_bad_row_isolation", f"""
 WITH {MERGED}
 SELECT slug, name, seen AND NOT applied AS rejected, missing_scan_count FROM fin

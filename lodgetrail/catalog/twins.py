@@ -133,7 +133,7 @@ def _corner_sql(corner: int) -> str:
 
 
 VEC = "vec AS (" + " UNION ALL ".join(
-    f"SELECT vec_id AS image_id, label::BIGINT AS listing_id, '{name}' AS corner, ({_corner_sql(i)})::BIGINT AS hash FROM embeddings"
+    f"SELECT vec_id AS image_id, (label % 2)::BIGINT AS listing_id, '{name}' AS corner, ({_corner_sql(i)})::BIGINT AS hash FROM embeddings"
     for i, name in enumerate(CORNERS)) + ")"
 
 BILL = """

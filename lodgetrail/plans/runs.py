@@ -83,7 +83,8 @@ class RunTable:
         level = 0
         while len(full := [r for r in runs if level_of(r) == level]) >= FAN_IN:
             merged = run_id(version, level + 1)
-            self.write(merged, self.read(full))
+            # Read as plain files: rows that lie in buckets already would not be dealt again, and a bucket would get many files.
+            self.write(merged, self.spark.read.schema(self.schema).parquet(*(f"{self.path}/run={r}" for r in full)))
             runs = [r for r in runs if r not in full] + [merged]
             level += 1
         self.write(run_id(version), rows)

@@ -15,6 +15,7 @@ from lodgetrail.functions import clock
 from lodgetrail.operators import collect, images as image_ops, merge
 from lodgetrail.plans import counters
 from lodgetrail.plans.exports import with_change_date
+from lodgetrail.plans.paging import ROWS_PER_PART, MapIndex, RankIndex
 from lodgetrail.plans.runs import FAN_IN, RunTable, run_id
 from lodgetrail.sources import details as detail_pages
 from lodgetrail.sources import pages as list_pages
@@ -183,6 +184,26 @@ class TrackingStore:
         """Listings per counter and detail, folded from what each scan changed; no stored listing is read."""
         return counters.folded(self._counts.read(self._version()["runs"]["counts"]))
 
+    def _built(self, path: str) -> bool:
+        fs, _ = self._manifest_dir()
+        return fs.exists(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS"))
+
+    def rank_index(self, name: str, order: list[Column], rows_per_range: int = ROWS_PER_PART) -> RankIndex:
+        """The listings of the version in force in one order, made at its first use; ``name`` stands for the order."""
+        version = self.version()
+        path = f"{self.root}/rank/v={version}/{name}-{rows_per_range}"
+        if not self._built(path):
+            return RankIndex.build(self.state(version), order, path, rows_per_range)
+        return RankIndex(self.spark, path, RankIndex.schema_of(schemas.STATE_SCHEMA), rows_per_range)
+
+    def map_index(self, rows_per_part: int = ROWS_PER_PART) -> MapIndex:
+        """The located listings of the version in force by place, made at its first use."""
+        version = self.version()
+        path = f"{self.root}/maps/v={version}/{rows_per_part}"
+        if not self._built(f"{path}/boxes"):
+            return MapIndex.build(self.state(version), path, rows_per_part)
+        return MapIndex(self.spark, path, MapIndex.schema_of(schemas.STATE_SCHEMA))
+
     # -- the scan ------------------------------------------------------------
 
     def apply_scan(
@@ -248,6 +269,11 @@ class TrackingStore:
                 if name.startswith("run=") and int(name[4:]) not in wanted:
                     self._delete(f"{table}/{name}")
             getattr(self, f"_{table}")._listed.clear()
+        for table in ("rank", "maps"):
+            folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
+            for f in fs.listStatus(folder) if fs.exists(folder) else ():
+                if int(f.getPath().getName().removeprefix("v=")) <= newest - keep:
+                    self._delete(f"{table}/{f.getPath().getName()}")
 
     def _touched(self, before: dict, slugs: DataFrame, threshold: int) -> DataFrame:
         """Stored listings a scan may change: those it names, and those one more miss removes."""

@@ -9,6 +9,7 @@ from lodgetrail import dims
 from lodgetrail.functions.price import contract_number, price_value, savings
 from lodgetrail.operators import filters
 from lodgetrail.operators.images import gallery, shown_images, thumbnails
+from lodgetrail.plans.paging import RankIndex
 
 
 def newest_first() -> list[Column]:
@@ -31,7 +32,26 @@ def catalogue_page(
     The page holds at most 500 rows, so it is the broadcast side against the
     image table, and only its listings' images are aggregated.
     """
-    chosen = page(state.filter(filters.catalogue(**params)), newest_first(), limit, offset)
+    return _shown(page(state.filter(filters.catalogue(**params)), newest_first(), limit, offset), images, premium, secret)
+
+
+def indexed_page(
+    index: RankIndex, images: DataFrame, premium: bool, secret: str, limit: int = 50, offset: int = 0,
+    after: int | None = None, **params,
+) -> DataFrame:
+    """The same page out of a stored order, at any depth, or the one after a place.
+
+    What is read are the ranges that hold the page, and of the others at most the columns of the filter.
+    """
+    if not 1 <= limit <= dims.MAX_LIMIT:
+        raise ValueError(f"limit 1..{dims.MAX_LIMIT}")
+    condition = filters.catalogue(**params) if params else None
+    found = index.page(limit, offset, condition) if after is None else index.page_after(after, limit, condition)
+    return _shown(found, images, premium, secret)
+
+
+def _shown(chosen: DataFrame, images: DataFrame, premium: bool, secret: str) -> DataFrame:
+    """A page with thumbnails, masked for the tier."""
     ids = chosen.select(F.col("id").alias("listing_id"))
     thumbs = thumbnails(images.join(F.broadcast(ids), "listing_id", "left_semi"))
     with_thumbs = chosen.join(

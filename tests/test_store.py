@@ -177,3 +177,27 @@ def test_seeded_counters(spark, tmp_path):
     assert out.counters["removed_count"] == 2
     as_of = clock.instant(at(1))
     assert plain(counters.public_from_tally(store.tally(), as_of)) == plain(counters.public_counters(store.state(), as_of))
+
+
+def test_indexes_belong_to_a_version(spark, tmp_path):
+    from lodgetrail.plans import serving
+
+    store = TrackingStore(spark, str(tmp_path / "s"), buckets=2)
+    located = many(spark, (0, 60), 5000).withColumns({"latitude": F.lit(10.0) + F.length("slug"), "longitude": F.lit(100.0), "images": F.array(F.lit("x"))})
+    store.apply_scan(located, at(0))
+    order = [F.col("price_monthly_min").desc_nulls_last(), F.col("slug").asc()]
+    first = store.rank_index("dearest", order, rows_per_range=20)
+    assert [r.slug for r in first.page(3, 30).collect()] == sorted(f"listing-{i}" for i in range(60))[30:33]
+    store.apply_scan(many(spark, (7, 8), 9000), at(1), complete=False)
+    assert store.rank_index("dearest", order, rows_per_range=20).page(1).first().slug == "listing-7"
+    assert store.rank_index("dearest", order, rows_per_range=20).page(1).first().price_monthly_min == 9000
+    assert store.map_index(20).viewport(19, 20, 99, 101).count() == 10 and store.map_index(20).viewport(0, 90, 0, 180).count() == 60
+    ids = store.state().withColumn("id", F.regexp_extract("slug", r"(\d+)", 1).cast("long"))
+    from lodgetrail.plans.paging import RankIndex
+
+    index = RankIndex.build(ids, serving.newest_first(), str(tmp_path / "rank"), rows_per_range=20)
+    images = store.images().select(F.regexp_extract("slug", r"(\d+)", 1).cast("long").alias("listing_id"), "image_url", "position", "excluded", F.lit(1).alias("image_id"))
+    page = serving.indexed_page(index, images, True, "k", limit=5, offset=50, status="active").collect()
+    assert sorted(r.id for r in page) == [5, 6, 7, 8, 9] and {r.thumbnail for r in page} == {"x"}
+    after = serving.indexed_page(index, images, True, "k", limit=5, after=55).collect()
+    assert sorted(r.id for r in after) == [0, 1, 2, 3, 4]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodgetrail.functions.text import first_match, strip, strip_tags
+from lodgetrail.functions import markup
+from lodgetrail.functions.text import first_match
 
 _NUMERIC_KINDS = "^(BIGINT|DECIMAL|DOUBLE|FLOAT)"
 
@@ -51,30 +52,29 @@ def format_deposit(fee: Column) -> Column:
     )
 
 
-def labelled_text(html: Column, label: str) -> Column:
-    """The text right after a label element."""
-    found = first_match(
-        html, rf"(?is)>[^<]*{label}[^<]*</[a-z0-9]+>\s*<[a-z0-9]+[^>]*>(.*?)</[a-z0-9]+>"
-    )
-    return F.nullif(strip(strip_tags(found, "")), F.lit(""))
+def labelled_text(shown: Column, label: str) -> Column:
+    """The text of the element after the one that holds a label, else the line after the label; ``shown`` is the visible page."""
+    return markup.next_text(first_match(shown, rf"(?is)>[^<]*{label}[^<]*(<.*)$"))
 
 
 def fees(listing: Column, html: Column) -> dict[str, Column]:
     """Five fees: the page's JSON first, then the labels (never for the deposit)."""
 
+    shown = markup.visible(html)
+
     def part(name: str) -> Column:
         return F.try_variant_get(listing, f"$.fee.{name}", "variant")
 
     return {
         "deposit": format_deposit(part("deposit")),
         "advance_payment": F.coalesce(
-            format_fee(part("advancePayment")), labelled_text(html, r"Advance\s+payment")),
+            format_fee(part("advancePayment")), labelled_text(shown, r"Advance\s+payment")),
         "electric_price": F.coalesce(
             format_fee(part("electric"), "/unit", "as charged by Electricity Authority"),
-            labelled_text(html, r"Electric\s+price")),
+            labelled_text(shown, r"Electric\s+price")),
         "water_price": F.coalesce(
             format_fee(part("water"), "/unit", "as charged by Waterworks Authority"),
-            labelled_text(html, r"Water\s+price")),
+            labelled_text(shown, r"Water\s+price")),
         "service_fee": F.coalesce(
-            format_fee(part("service")), labelled_text(html, r"Service\s+fee")),
+            format_fee(part("service")), labelled_text(shown, r"Service\s+fee")),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodgetrail import dims
+from lodgetrail.functions import markup
 
 # Blanks a Unicode-aware strip removes; Spark's trim() alone takes only U+0020.
 _BLANKS = "".join(map(chr, [
@@ -144,12 +145,7 @@ def encode_component(c: Column) -> Column:
 
 def strip_tags(html: Column, separator: str = "\n") -> Column:
     """Visible text of a fragment: scripts, styles, comments and tags removed."""
-    no_blocks = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(no_blocks, r"(?s)<[^>]+>", separator)
-    for entity, plain in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-                          ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(plain))
-    return text
+    return markup.plain(F.regexp_replace(markup.visible(html), f"(?s){markup.TAG}", separator))
 
 
 def text_lines(text: Column) -> Column:
@@ -165,15 +161,16 @@ def clean_description(text: Column) -> Column:
     return blank_to_null(out)
 
 
+_DETAIL = rf"(?is)<h2\b{markup.ATTRIBUTES}>[^<]*(?:Detail|Information about).*?</h2\s*>(.*)$"
+_PARAGRAPH = rf"(?is)<p\b{markup.ATTRIBUTES}>(.*?)(?:</p>|<p\b|$)"
+
+
 def description_section(html: Column) -> Column:
-    """Text under the detail heading, else the first paragraph over 50 characters."""
-    body = first_match(
-        html,
-        r"(?is)<h2\b[^>]*>[^<]*(?:Detail|Information about)[^<]*</h2>(.*?)(?=<h[23]\b|</body>|$)",
-    )
-    section = F.nullif(F.array_join(text_lines(strip_tags(body)), "\n"), F.lit(""))
+    """Text of the elements after the detail heading, up to the next one beside it; else the first paragraph over 50 characters."""
+    shown = markup.visible(html)
+    section = markup.siblings_text(first_match(shown, _DETAIL), ("h2", "h3"))
     paragraphs = F.transform(
-        F.regexp_extract_all(html, F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)),
+        F.regexp_extract_all(shown, F.lit(_PARAGRAPH), F.lit(1)),
         lambda p: strip(F.regexp_replace(strip_tags(p, " "), r"\s+", " ")),
     )
     fallback = F.get(F.filter(paragraphs, lambda p: F.length(p) > 50), F.lit(0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodgetrail import dims, schemas
-from lodgetrail.functions import geo, text
+from lodgetrail.functions import geo, markup, text
 from lodgetrail.functions.amenities import derive_amenities
 from lodgetrail.functions.fees import fees, variant_kind, variant_text
 from lodgetrail.sources.pages import embedded_json, links
@@ -49,13 +49,13 @@ def room_list(listing: Column) -> Column:
     return F.coalesce(F.transform(rooms, as_struct), F.array().cast(f"array<{schemas.ROOM_TYPE.simpleString()}>"))
 
 
-_GRID = r"(?is)<h2\b[^>]*>[^<]*Amenities[^<]*</h2>\s*(<div\b.*?)(?=<h2\b|</body>|$)"
+_GRID = rf"(?is)<h2\b{markup.ATTRIBUTES}>[^<]*Amenities.*?</h2\s*>(.*)$"
 _STYLE = r'<style data-emotion="css ([\w-]+)">\.css-\1\{([^}]*)\}'
 
 
 def amenity_section(html: Column) -> Column:
-    """The page part that holds the amenity grid; NULL without one."""
-    return text.first_match(html, _GRID)
+    """The element that holds the amenity grid, the first ``div`` after the heading beside it; NULL without one."""
+    return markup.next_element(text.first_match(html, _GRID), "div")
 
 
 def icon_amenities(section: Column) -> Column:
@@ -65,6 +65,10 @@ def icon_amenities(section: Column) -> Column:
     it lies in. The struck classes travel beside each piece: a lambda would
     evaluate a captured expression again for every piece.
     """
+    return text.let(section, _icon_amenities)
+
+
+def _icon_amenities(section: Column) -> Column:
     styles = F.arrays_zip(
         F.regexp_extract_all(section, F.lit(_STYLE), F.lit(1)).alias("cls"),
         F.regexp_extract_all(section, F.lit(_STYLE), F.lit(2)).alias("rule"),

@@ -191,7 +191,7 @@ def test_indexes_belong_to_a_version(spark, tmp_path):
     store.apply_scan(many(spark, (7, 8), 9000), at(1), complete=False)
     assert store.rank_index("dearest", order, rows_per_range=20).page(1).first().slug == "listing-7"
     assert store.rank_index("dearest", order, rows_per_range=20).page(1).first().price_monthly_min == 9000
-    assert store.map_index(20).viewport(19, 20, 99, 101).count() == 10 and store.map_index(20).viewport(0, 90, 0, 180).count() == 60
+    assert store.map_index(20).viewport(18.5, 19.5, 99, 101).count() == 10 and store.map_index(20).viewport(0, 90, 0, 180).count() == 60
     ids = store.state().withColumn("id", F.regexp_extract("slug", r"(\d+)", 1).cast("long"))
     from lodgetrail.plans.paging import RankIndex
 

@@ -57,8 +57,8 @@ def tokens(html: Column) -> Column:
     return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), mark)
 
 
-def _moved(depth: Column, paragraph: Column, token: Column) -> tuple[Column, Column]:
-    """Depth and open paragraph (its depth, 0 for none) after a token."""
+def _moved(depth: Column, paragraph: Column, token: Column, within: bool = False) -> tuple[Column, Column]:
+    """Depth and open paragraph (its depth, 0 for none) after a token; ``within``: a paragraph may have been open before the first."""
     kind = token["kind"]
     # A block ends an open paragraph, and so does the closing tag of what it stands in.
     ends = (paragraph > 0) & (token["block"] | ((kind == _CLOSE) & (paragraph == depth)))
@@ -66,7 +66,8 @@ def _moved(depth: Column, paragraph: Column, token: Column) -> tuple[Column, Col
     new_depth = (
         F.when(kind.isin(_OPEN, _CLOSE), base + kind)
         .when(kind == _P_OPEN, F.when(paragraph > 0, paragraph).otherwise(depth + 1))
-        .when((kind == _P_CLOSE) & (paragraph > 0), paragraph - 1).otherwise(depth))
+        .when((kind == _P_CLOSE) & (paragraph > 0), paragraph - 1)
+        .when((kind == _P_CLOSE) & F.lit(within), depth - 1).otherwise(depth))
     new_paragraph = (
         F.when(kind.isin(_OPEN, _CLOSE), F.when(ends, 0).otherwise(paragraph))
         .when(kind == _P_OPEN, F.when(paragraph > 0, paragraph).otherwise(depth + 1))
@@ -116,7 +117,7 @@ def next_text(inside: Column) -> Column:
 
     def step(acc: Column, token: Column) -> Column:
         # Phases: 0 in the label's element, 1 behind it, 2 in the next element, 3 behind that, 4 out of the parent.
-        depth, paragraph = _moved(acc["depth"], acc["paragraph"], token)
+        depth, paragraph = _moved(acc["depth"], acc["paragraph"], token, within=True)
         opens, is_text = token["kind"].isin(_OPEN, _P_OPEN), token["kind"] == _TEXT
         phase = (
             F.when(depth < 0, 4)

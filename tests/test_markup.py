@@ -131,7 +131,8 @@ def test_random_pages_equal_the_tree(spark):
     ('<div><span>Water  price</span><!-- x --><div title="a>b"><div>20</div><div>THB</div></div><p>no</p></div>', "20THB"),
     ("<div><b>Water price</b> 8 THB/unit</div><p>other</p>", "8 THB/unit"),
     ("<div><b>Water price</b><i> </i>\n9 THB\nmore</div>", "9 THB"),
-    ("<div><b>Water price</b></div><div>7</div>", None),
+    ("<div><b>Water price</b></div><div>7</div>", None), ("<p>Water price</p> <p> 5 <b>THB</b></p>", "5 THB"),
+    ("<p><b>Water price</b> 6 THB</p><p>other</p>", "6 THB"), ("<p>Water price</p>", None),
     ("<p>nothing</p>", None), (None, None),
 ])
 def test_labels(spark, page, value):

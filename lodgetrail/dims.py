@@ -209,10 +209,14 @@ AMENITY_PATTERNS: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
 
 AMENITY_ORDER = tuple(AMENITY_PATTERNS)
 
-# Display names are derived from the slugs; longest first decides ties in text.
-PROVINCE_NAMES = tuple(
-    sorted((s.replace("-", " ").title() for s in PROVINCE_SLUGS.values()), key=len, reverse=True)
-)
+
+def display_name(slug: str) -> str:
+    """How a place is shown: the words of its slug, capitalised."""
+    return " ".join(word.capitalize() for word in slug.split("-"))
+
+
+# In texts the longest name that fits is the one meant.
+PROVINCE_NAMES = tuple(sorted(map(display_name, PROVINCE_SLUGS.values()), key=lambda name: -len(name)))
 
 
 def literal_map(mapping: dict[str, str]) -> Column:
@@ -226,7 +230,7 @@ def literal_array(values) -> Column:
 
 def province_frame(spark: SparkSession) -> DataFrame:
     """The 77 provinces: official name, source slug, display name."""
-    rows = [(n, s, s.replace("-", " ").title()) for n, s in PROVINCE_SLUGS.items()]
+    rows = [(official, slug, display_name(slug)) for official, slug in PROVINCE_SLUGS.items()]
     return spark.createDataFrame(rows, "official_name string, province_slug string, display_name string")
 
 

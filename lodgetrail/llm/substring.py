@@ -136,26 +136,37 @@ def _binary(batch: pa.RecordBatch) -> list[bytes]:
     return batch.column("text").cast(pa.binary()).to_pylist()
 
 
-def _repeated_places(docs: DataFrame, window: int) -> DataFrame:
-    """``class`` and ``place`` of all anchors that occur in two classes or places.
+def _described(docs: DataFrame, window: int) -> DataFrame:
+    """Per row ``doc``, ``n_words``, ``words_sha256``, ``class``, and its windows' ``anchors`` with their ``places``, in one pass."""
+
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, sha, name, own, at = [], [], [], [], []
+            for text, words in zip(_binary(batch), hashed_words(batch.column("text")), strict=True):
+                digest, kind = _class_of(b" ".join(_words(text)))
+                chosen = np.unique(anchors_of(words, window))
+                n.append(len(words))
+                sha.append(digest)
+                name.append(kind)
+                own.append(grams(words, ANCHOR).view(np.int64)[chosen])
+                at.append(chosen.astype(np.int32))
+            ends = pa.array(np.cumsum([0, *map(len, at)]), pa.int32())
+            flat = [np.concatenate([*x, np.zeros(0, dtype=kind)]) for x, kind in ((own, np.int64), (at, np.int32))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(name, pa.int64()), *(pa.ListArray.from_arrays(ends, pa.array(x)) for x in flat)],
+                ["doc", "n_words", "words_sha256", "class", "anchors", "places"])
+
+    return docs.mapInArrow(describe, "doc long, n_words long, words_sha256 string, class long, anchors array<long>, places array<int>")
+
+
+def _repeated_places(described: DataFrame) -> DataFrame:
+    """``class`` and ``place`` of all anchors that occur in two classes or places; ``described`` is staged, as it is read twice.
 
     Anchors are sorted by hash over ranges of (hash, class, place), so a frequent one spreads over tasks; a task reads
     its rows in order and holds one. The first and last row of a task are passed on unseen: they may have a partner in the
     next task, and a place too many only costs a later look.
     """
 
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own, names, at = [], [], []
-            for text, words in zip(_binary(batch), hashed_words(batch.column("text")), strict=True):
-                chosen = np.unique(anchors_of(words, window))
-                if len(chosen):
-                    own.append(grams(words, ANCHOR).view(np.int64)[chosen])
-                    names.append(np.full(len(chosen), _class_of(b" ".join(_words(text)))[1]))
-                    at.append(chosen.astype(np.int32))
-            if own:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (own, names, at)], ["anchor", "class", "place"])
-
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last row so far
         held_on, first = False, True
@@ -179,37 +190,41 @@ def _repeated_places(docs: DataFrame, window: int) -> DataFrame:
         if held is not None:
             yield rows(held, np.array([True]))
 
-    sorted_rows = docs.mapInArrow(choose, "anchor long, class long, place int")
+    each = described.select("class", F.explode(F.arrays_zip("anchors", "places")).alias("a"))
+    sorted_rows = each.select(F.col("a.anchors").alias("anchor"), "class", F.col("a.places").alias("place"))
     sorted_rows = sorted_rows.repartitionByRange("anchor", "class", "place").sortWithinPartitions("anchor", "class", "place")
     return sorted_rows.mapInArrow(repeated, "class long, place int")
 
 
 def _first_windows(candidates: DataFrame, window: int) -> DataFrame:
-    """``doc``, ``start`` and ``own``: bits of the windows of a stretch that occur there for the first time."""
+    """``class``, ``start`` and ``own``: bits of the windows of a stretch that occur there for the first time."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, places, hashes in zip(batch.column("doc").to_pylist(), _binary(batch), batch.column("places").to_pylist(), hashed_words(batch.column("text")), strict=True):
+            columns = (batch.column(k).to_pylist() for k in ("doc", "class", "places"))
+            for doc, name, places, text, hashes in zip(*columns, _binary(batch), hashed_words(batch.column("text")), strict=True):
                 words = _words(text)
+                if _class_of(b" ".join(words))[1] != name:
+                    continue  # another text under the same key
                 for anchor, start, n in stretches(hashes, set(places), window):
-                    out.append((anchor, b" ".join(words[start : start + n + window - 1]), doc, start))
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32())
+                    out.append((anchor, b" ".join(words[start : start + n + window - 1]), doc, start, name))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64())
             arrays = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             arrays[1] = arrays[1].cast(pa.string())
-            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "words", "doc", "start"])
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "words", "doc", "start", "class"])
 
-    found = candidates.select("doc", "text", "places").mapInArrow(cut, "anchor long, words string, doc long, start int")
-    distinct = stage(found.groupBy("anchor", "words").agg(F.min(F.struct("doc", "start")).alias("at")).select("anchor", "words", "at.doc", "at.start"), "stretches")
+    found = candidates.select("doc", "class", "text", "places").mapInArrow(cut, "anchor long, words string, doc long, start int, class long")
+    distinct = stage(found.groupBy("anchor", "words").agg(F.min(F.struct("doc", "start", "class")).alias("at")).select("anchor", "words", "at.*"), "stretches")
     heavy = stage(distinct.groupBy("anchor").count().where(F.col("count") > HEAVY).select("anchor"), "heavy-anchors")
     total = distinct.agg(F.sum(F.size(F.split("words", " ")))).first()[0] or 0
     shards = max(1, -(-total // SHARD_WORDS))
-    light = distinct.join(heavy, "anchor", "left_anti").select(F.pmod("anchor", F.lit(shards)).alias("shard"), "words", "doc", "start", F.lit(0).alias("from"))
+    light = distinct.join(heavy, "anchor", "left_anti").select(F.pmod("anchor", F.lit(shards)).alias("shard"), "words", "doc", "start", "class", F.lit(0).alias("from"))
     parts = F.split("words", " ")
     single = F.transform(F.sequence(F.lit(0), F.size(parts) - window), lambda k: F.struct(k.alias("from"), F.array_join(F.slice(parts, k + 1, window), " ").alias("words")))
-    whole = distinct.join(heavy, "anchor").select("doc", "start", F.explode(single).alias("w")).select("doc", "start", "w.from", "w.words")
-    whole = whole.groupBy("words").agg(F.min(F.struct("doc", (F.col("start") + F.col("from")).alias("place"), "start", "from")).alias("at"))
-    whole = whole.select(F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard"), "words", "at.doc", "at.start", "at.from")
+    whole = distinct.join(heavy, "anchor").select("doc", "start", "class", F.explode(single).alias("w")).select("doc", "start", "class", "w.from", "w.words")
+    whole = whole.groupBy("words").agg(F.min(F.struct("doc", (F.col("start") + F.col("from")).alias("place"), "start", "from", "class")).alias("at"))
+    whole = whole.select(F.pmod(F.xxhash64("words"), F.lit(shards)).alias("shard"), "words", "at.doc", "at.start", "at.class", "at.from")
 
     def match(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -226,10 +241,10 @@ def _first_windows(candidates: DataFrame, window: int) -> DataFrame:
                 if end == (r["doc"], r["start"] + r["from"] + k):
                     bits |= 1 << (k - window + 1 + r["from"])
             own.append(bits)
-        return pa.table({"doc": table.column("doc"), "start": table.column("start"), "own": pa.array(own, pa.int64())})
+        return pa.table({"class": table.column("class"), "start": table.column("start"), "own": pa.array(own, pa.int64())})
 
-    owned = light.unionByName(whole).groupBy("shard").applyInArrow(match, "doc long, start int, own long").where("own <> 0")
-    return owned.groupBy("doc", "start").agg(F.bit_or("own").alias("own"))
+    owned = light.unionByName(whole).groupBy("shard").applyInArrow(match, "class long, start int, own long").where("own <> 0")
+    return owned.groupBy("class", "start").agg(F.bit_or("own").alias("own"))
 
 
 def find_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,7 +254,8 @@ def find_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text:
     ``kept_text`` (kept words joined by one space; null where nothing goes) and ``words_sha256`` (of all words joined by
     one space). Words are runs of other characters than ASCII white space. Windows are judged on the input. Null
     and empty texts and texts shorter than a window keep what they have. Of rows with equal words, all but the first key
-    go whole. ``key`` is a whole number; rows that repeat key and text are one document judged once. An empty table gives
+    go whole. ``key`` is a whole number; rows that repeat key and text are one document judged once, and of different texts under one key
+    each is judged by its own words. An empty table gives
     an empty table; other columns are not looked at.
     """
     if not ANCHOR <= window < ANCHOR + 63:
@@ -247,23 +263,13 @@ def find_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text:
     small_batches(df.sparkSession)
     docs = df.select(df[key].cast("long").alias("doc"), F.coalesce(df[text], F.lit("")).alias("text"))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, sha, name = [], [], []
-            for t in _binary(batch):
-                words = _words(t)
-                digest, own = _class_of(b" ".join(words))
-                n.append(len(words))
-                sha.append(digest)
-                name.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int64()), pa.array(sha), pa.array(name, pa.int64())], ["doc", "n_words", "words_sha256", "class"])
-
-    facts = stage(docs.mapInArrow(describe, "doc long, n_words long, words_sha256 string, class long"), "word-facts")
+    described = stage(_described(docs, window), "word-facts")
+    facts = described.select("doc", "n_words", "words_sha256", "class")
     firsts = stage(facts.where(F.col("n_words") >= window).groupBy("class").agg(F.min("doc").alias("first")), "word-classes")
-    places = _repeated_places(docs, window).groupBy("class").agg(F.collect_set("place").alias("places"))
+    places = _repeated_places(described).groupBy("class").agg(F.collect_set("place").alias("places"))
     wanted = stage(places.join(firsts, "class").select(F.col("first").alias("doc"), "class", "places"), "places")
     candidates = stage(docs.join(wanted, "doc").select("doc", "class", "text", "places"), "candidates")
-    owned = _first_windows(candidates, window).groupBy("doc").agg(F.collect_list(F.struct("start", "own")).alias("owned"))
+    owned = _first_windows(candidates, window).groupBy("class").agg(F.collect_list(F.struct("start", "own")).alias("owned"))
     owned = stage(owned, "first-windows")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,7 +297,7 @@ def find_repeats(df: DataFrame, window: int = WINDOW, key: str = "doc_id", text:
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["class", "removed", "spans", "kept_text"])
 
-    changed = candidates.join(owned, "doc", "left").mapInArrow(remove, "class long, removed long, spans array<struct<start:int,end:int>>, kept_text string")
+    changed = candidates.join(owned, "class", "left").mapInArrow(remove, "class long, removed long, spans array<struct<start:int,end:int>>, kept_text string")
     changed = stage(changed.dropDuplicates(["class"]), "changed")
     known = stage(firsts.join(changed, "class", "left"), "word-verdicts")
     out = facts.join(known, "class", "left")

@@ -61,6 +61,13 @@ def test_ids_may_be_sparse_and_repeat(spark):
     assert [r.n_removed for r in rows] == [0, 0]
 
 
+def test_different_texts_under_one_key_are_judged_by_their_own_words(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    texts = [(5, f"{a} x"), (5, f"y y y {b}"), (9, f"z {a} {b}"), (2, "unrelated " * 3)]
+    rows = substring.find_repeats(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rows) == [(2, 3, 0), (5, 41, 0), (5, 43, 0), (9, 81, 80)]
+
+
 def test_no_rows(spark):
     assert substring.find_repeats(docs(spark, [])).count() == 0
     with pytest.raises(ValueError):

@@ -31,7 +31,7 @@ def test_toxic_documents_go(spark, steps):
 
 def test_one_of_each_near_group_stays(steps):
     before, after = rows(steps[1]), rows(steps[2])
-    _, component = near_components([(d, r.text) for d, r in before.items()])
+    _, component = near_components([(d, r.text) for d, r in before.items()], 80)
     assert set(after) == {d for d in before if component[d] == d}
 
 

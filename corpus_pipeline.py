@@ -11,6 +11,8 @@ from lodgetrail.llm.common import table
 from lodgetrail.llm.queries import CAPACITY, TOXIC, toxicity_model
 from lodgetrail.session import prepare, stage
 
+#: Percent of shingles that near-duplicates share at least.
+SIMILAR = 80
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -24,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component."""
     prepare(spark)
-    found = stage(minhash.near_duplicates(docs, 85), "near-duplicates")
+    found = stage(minhash.near_duplicates(docs, SIMILAR), "near-duplicates")
     return docs.join(found.where("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -72,7 +72,8 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_lines`` (lines with a word), ``n_dup_lines``
     (those equal to an earlier line) and ``n_repeat_words`` (words in windows of five found twice or more). Null and
-    empty texts measure 0. Windows are told apart by a 64-bit hash. Other columns pass through.
+    empty texts measure 0. Windows are told apart by a 64-bit hash. Columns of these names, and those the work goes by
+    (``_words``, ``_lines``, ``_sorted``, ``_hashes``, ``_at``), are replaced or left out; all others pass through.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -135,7 +135,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 
 def redact(docs: DataFrame, findings: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace the secrets found in each text by ``mark``; other rows and columns stay as they are."""
+    """Replace the secrets found in each text by ``mark``, longest first, wherever the text holds them; other rows stay as they are.
+
+    Null texts stay null, and rows that repeat a key get the secrets of all of them replaced. All columns pass through;
+    one named ``_values`` is not possible.
+    """
     values = findings.where("secret").groupBy(key).agg(F.array_sort(F.collect_set("value"), lambda a, b: F.length(b) - F.length(a)).alias("_values"))
     joined = docs.join(stage(values, "secrets"), key, "left")
     clean = F.aggregate("_values", F.col(text), lambda t, v: F.replace(t, v, F.lit(mark)))

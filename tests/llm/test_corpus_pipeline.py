@@ -61,3 +61,19 @@ def test_stages_take_empty_tables(spark):
         out = step(spark, table, SF)
         assert out.count() == 0
         table = table if set(corpus_pipeline.COLUMNS) - set(out.columns) else out
+
+
+def test_odd_rows_go_through_all_stages(spark):
+    from pyspark.sql import functions as F
+
+    key = "0123456789abcdef0123456789abcdef01234567"
+    texts = [(1, None), (1, None), (2, ""), (3, "word " * 60), (3, "word " * 60), (4, "quiet text of a few words here"), (5, f'token = "{key}"')]
+    table, odd = docs(spark, texts), {n: F.lit("x") for n in ("offset", "sequence_id", "kept", "_score", "kept_text", "secret")}
+    for name, step in corpus_pipeline.STAGES:
+        out = step(spark, table.withColumns(odd), SF)
+        found = out.collect()
+        assert sorted(r.doc_id for r in found) == [1, 1, 2, 3, 3, 4, 5], name
+        table = spark.createDataFrame(found, out.schema)
+        if name == "secrets":
+            assert {r.doc_id: r.text or "" for r in found} == {1: "", 2: "", 3: "word", 4: texts[5][1], 5: 'token = "[SECRET]"'}
+    assert {r.doc_id: r.length for r in found}[1] == 1

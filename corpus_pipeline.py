@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: toxicity, near-duplicates, repeats, secrets, packing."""
+"""From raw documents to packed sequences: toxicity, near-duplicates, repeats, secrets, packing.
+
+Every stage takes any columns beside those of ``documents`` and leaves them out. A null text counts as an empty one: it is
+kept by all filters, holds no secret and packs as its end mark alone; a null source is one source. Rows with equal
+keys are one document to the near-duplicate and repeat stages, and each a row to the others. An empty table stays one.
+"""
 
 from __future__ import annotations
 

@@ -72,11 +72,8 @@ _LOG_SCHEMA = (
     "new_count bigint, updated_count bigint, price_changed_count bigint, removed_count bigint, "
     "monthly_count bigint, error_count bigint, removals_checked boolean, error_message string"
 )
-# What a version is made of: runs per table, trusted scans so far, stored and active listings.
-_VERSION_SCHEMA = (
-    f"{_LOG_SCHEMA}, trusted bigint, listings bigint, active bigint, delta_rows bigint, "
-    "runs struct<state:array<bigint>,images:array<bigint>,history:array<bigint>,counts:array<bigint>>"
-)
+# Beside the log, an entry holds what its version is made of: runs per table, trusted scans so far, stored and active
+# listings, and rows in deltas since the base.
 _TABLES = ("state", "images", "history", "counts")
 
 #: Stored beside a listing: its misses minus the trusted scans when it was written. Adding the trusted scans of a later
@@ -122,18 +119,27 @@ class TrackingStore:
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
+    def _manifest(self, number: int) -> dict:
+        """One entry; it is a small file, so it is read here and not by a job."""
+        fs, folder = self._manifest_dir()
+        jvm = self.spark.sparkContext._jvm
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(folder, f"{number:010d}.json"))
+        try:
+            return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
     def _version(self, version: int | None = None) -> dict:
-        """The manifest entry of a version (the one in force), as plain values."""
+        """The manifest entry of a version (the one in force)."""
         numbers = self._manifest_numbers()
         empty = {"version": 0, "trusted": 0, "listings": 0, "active": 0, "delta_rows": 0, "runs": {t: [] for t in _TABLES}}
         if not numbers or version == 0:
             return empty
-        name = f"{numbers[-1]:010d}" if version is None else "*"
-        entries = self.spark.read.schema(_VERSION_SCHEMA).json(f"{self.root}/manifests/{name}.json")
-        found = entries.filter(F.lit(True) if version is None else (F.col("version") == version) & (F.col("status") == "completed")).first()
-        if found is None:
-            raise ValueError(f"there is no version {version}")
-        return found.asDict(recursive=True) | ({} if found.runs else {"runs": empty["runs"]})
+        for number in reversed(numbers):
+            entry = self._manifest(number)
+            if version is None or (entry["version"] == version and entry["status"] == "completed"):
+                return empty | entry
+        raise ValueError(f"there is no version {version}")
 
     def version(self) -> int:
         return self._version()["version"]

@@ -39,7 +39,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """All documents without the word sequences that occur earlier; ``n_chars`` follows the text."""
     prepare(spark)
     found = substring.find_repeats(docs, 20).where("kept_text IS NOT NULL").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    joined = docs.join(stage(found, "shortened"), "doc_id", "left")
+    joined = docs.select(*COLUMNS).join(stage(found, "shortened"), "doc_id", "left")
     text = F.coalesce("kept_text", "text")
     chars = F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text")).cast("long")
     return joined.withColumns({"text": text, "n_chars": chars}).select(*COLUMNS)

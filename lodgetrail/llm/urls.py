@@ -3,14 +3,17 @@
 A labelled URL becomes a basket of tokens (host names, path words, query keys, file ending) and its label. Spark's
 FP-growth finds the token combinations that go with low quality in two thirds of them; rules below a support, a confidence
 or a lift are pruned, so is a rule that says no more than a shorter one, and so is one that doesn't hold on the last
-third. URLs meet the rules through an inverted index: a rule stands under its rarest token, so a URL only looks at the
+third. No token and no combination is left out: where URLs have too many frequent tokens for all their subsets to be
+listed, only combinations are grown that can still say more than every shorter one, level by level. URLs meet the rules through an inverted index: a rule stands under its rarest token, so a URL only looks at the
 rules of the tokens it has. Fixed host and path rules come first.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +25,8 @@ LOW = "label=low"
 MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.001, 0.6, 2.0
 #: URLs that a rule needs at least, among those mined and among those held out.
 MIN_ROWS, MIN_HELD_OUT = 20, 5
-#: Rules combine a URL's frequent tokens of the greatest lift, so many of them: a basket has a bounded number of subsets.
-RULE_TOKENS = 8
+#: Frequent tokens of a URL up to which FP-growth lists all frequent combinations; where a URL has more, free sets are grown.
+FP_TOKENS = 14
 
 #: Host (and subdomains), path beginning, verdict.
 FIXED_RULES = (
@@ -73,6 +76,71 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
         names, words, F.transform(keys, lambda x: F.concat(F.lit("key:"), x)), F.transform(scheme, lambda x: F.concat(F.lit("scheme:"), F.lower(x))))))
 
 
+def _strong(sets: DataFrame, size: Row) -> DataFrame:
+    """Rules of enough confidence and lift from sets (``rule_tokens``) with the URLs that hold them, ``low`` ones among ``freq``."""
+    confidence = F.col("low") / F.col("freq")
+    found = sets.withColumns({
+        "confidence": confidence, "lift": confidence * size.n / size.low, "support": F.col("low") / F.lit(size.n)})
+    return found.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("lift") >= MIN_LIFT))
+
+
+def _listed_rules(baskets: DataFrame, size: Row, least: float) -> DataFrame:
+    """The rules that no shorter one makes needless, from all frequent combinations of ``own`` by FP-growth."""
+    items = F.concat("own", F.when(F.col("low"), F.array(F.lit(LOW))).otherwise(F.array().cast("array<string>")))
+    frequent = FPGrowth(itemsCol="items", minSupport=least / size.n, numPartitions=_partitions(baskets.sparkSession)).fit(
+        baskets.select(items.alias("items"))).freqItemsets
+    # The support counts all mined URLs, also those without a frequent token.
+    sets = stage(frequent.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), "freq"), "url-sets")
+    with_label = sets.where(F.array_contains("items", LOW) & (F.size("items") > 1)).select(F.array_remove("items", LOW).alias("rule_tokens"), F.col("freq").alias("low"))
+    alone = sets.where(~F.array_contains("items", LOW)).withColumnRenamed("items", "rule_tokens")
+    kept = stage(_strong(with_label.join(alone, "rule_tokens"), size).select("rule_tokens", "confidence", "lift", "support"), "url-rules")
+    # A rule is pruned where a shorter one with at least its confidence has only tokens of this one.
+    shorter = kept.select(F.col("rule_tokens").alias("less"), F.col("confidence").alias("at_least"), F.element_at("rule_tokens", 1).alias("first"))
+    tied = kept.withColumn("first", F.explode("rule_tokens")).join(shorter, "first").where(
+        (F.size("less") < F.size("rule_tokens")) & (F.col("at_least") >= F.col("confidence"))
+        & (F.size(F.array_except("less", "rule_tokens")) == 0)).select("rule_tokens").distinct()
+    return kept.join(tied, "rule_tokens", "left_anti")
+
+
+def _grown_rules(baskets: DataFrame, size: Row, least: float) -> DataFrame:
+    """The same rules, by growing sets of ``own`` a token at a time.
+
+    A rule that says more than every shorter one loses a URL of good quality with each of its tokens: if one token excluded
+    none, the rule without it would have at least its confidence. Every part of such a set is such a set too, and so is
+    enough low quality, so a set grows from its parts alone and no rule is missed. A set without URLs of good quality
+    ends there. Beside a set stand the URLs that hold it, as the tokens that may still be added; equal ones are one row.
+    """
+    rest = baskets.groupBy(F.col("own").alias("rest")).agg(F.count_if("low").alias("low"), F.count_if(~F.col("low")).alias("high"))
+    left = stage(rest.where(F.size("rest") > 0).select(F.array().cast("array<string>").alias("held"), "rest", "low", "high"), "url-sets-left")
+    grown, parts = [], None
+    while True:
+        counted = left.select("held", F.explode("rest").alias("token"), "low", "high").groupBy("held", "token").agg(
+            F.sum("low").alias("low"), F.sum("high").alias("high")).where(F.col("low") >= least)
+        sets = counted.select(F.concat("held", F.array("token")).alias("rule_tokens"), "held", "token", "low", "high")
+        if parts is None:
+            sets = sets.where(F.col("high") < size.n - size.low).withColumn("best", F.lit(0.0))
+        else:
+            without = F.transform("rule_tokens", lambda x: F.array_remove("rule_tokens", x))
+            beside = sets.withColumn("part", F.explode(without)).join(parts, "part").groupBy(*sets.columns).agg(
+                F.count(F.lit(1)).alias("parts"), F.min("part_high").alias("fewest"), F.max("part_best").alias("best"))
+            sets = beside.where((F.col("parts") == F.size("rule_tokens")) & (F.col("high") < F.col("fewest"))).drop("parts", "fewest")
+        sets = stage(sets, "url-sets")
+        grown.append(sets.select("rule_tokens", "low", (F.col("low") + F.col("high")).alias("freq"), "best"))
+        going = sets.where("high > 0")
+        if going.isEmpty():
+            break
+        parts = going.select(F.col("rule_tokens").alias("part"), F.col("high").alias("part_high"),
+                             F.greatest("best", F.col("low") / (F.col("low") + F.col("high"))).alias("part_best"))
+        open_tokens = going.groupBy("held").agg(F.collect_list("token").alias("open"))
+        still = left.join(open_tokens, "held").select("held", F.array_intersect("rest", "open").alias("rest"), "low", "high")
+        longer = still.select("held", "rest", "low", "high", F.posexplode("rest").alias("at", "token")).where(F.col("at") + 1 < F.size("rest"))
+        left = stage(longer.groupBy(
+            F.concat("held", F.array("token")).alias("held"), F.slice("rest", F.col("at") + 2, F.size("rest")).alias("rest")).agg(
+            F.sum("low").alias("low"), F.sum("high").alias("high")), "url-sets-left")
+    # Parts that are no rules themselves have less confidence than any rule.
+    return _strong(reduce(DataFrame.unionByName, grown), size).where("confidence > best").select("rule_tokens", "confidence", "lift", "support")
+
+
 _RULES = "rule_tokens array<string>, confidence double, lift double, support double, held_out_rows long, held_out_precision double"
 
 
@@ -93,27 +161,11 @@ def mine(labelled: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _RULES)
     often = mined.select(F.explode("tokens").alias("token"), "low").groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("low").alias("low")).where(F.col("n") >= least)
-    lift = F.col("low") / F.col("n")
-    ranked = mined.select("tokens").distinct().withColumn("token", F.explode("tokens")).join(often.select("token", lift.alias("lift")), "token")
-    chosen = ranked.groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct((-F.col("lift")).alias("order"), "token"))).alias("best"))
-    chosen = chosen.select("tokens", F.transform(F.slice("best", 1, RULE_TOKENS), lambda x: x["token"]).alias("chosen"))
-    items = F.concat("chosen", F.when(F.col("low"), F.array(F.lit(LOW))).otherwise(F.array().cast("array<string>")))
-    baskets = stage(mined.join(chosen, "tokens").select(items.alias("items")), "url-baskets")
-    frequent = FPGrowth(itemsCol="items", minSupport=least / size.n, numPartitions=_partitions(spark)).fit(baskets).freqItemsets
-    # The support counts all mined URLs, also those without a frequent token.
-    sets = stage(frequent.where(F.col("freq") >= least).select(F.array_sort("items").alias("items"), "freq"), "url-sets")
-    with_label = sets.where(F.array_contains("items", LOW) & (F.size("items") > 1)).select(F.array_remove("items", LOW).alias("rule_tokens"), F.col("freq").alias("low"))
-    alone = sets.where(~F.array_contains("items", LOW)).withColumnRenamed("items", "rule_tokens")
-    confidence = F.col("low") / F.col("freq")
-    found = with_label.join(alone, "rule_tokens").select(
-        "rule_tokens", confidence.alias("confidence"), (confidence * size.n / size.low).alias("lift"), (F.col("low") / F.lit(size.n)).alias("support"))
-    kept = stage(found.where((F.col("confidence") >= MIN_CONFIDENCE) & (F.col("lift") >= MIN_LIFT)), "url-rules")
-    # A rule is pruned where a shorter one with at least its confidence has only tokens of this one.
-    shorter = kept.select(F.col("rule_tokens").alias("less"), F.col("confidence").alias("at_least"), F.element_at("rule_tokens", 1).alias("first"))
-    tied = kept.withColumn("first", F.explode("rule_tokens")).join(shorter, "first").where(
-        (F.size("less") < F.size("rule_tokens")) & (F.col("at_least") >= F.col("confidence"))
-        & (F.size(F.array_except("less", "rule_tokens")) == 0)).select("rule_tokens").distinct()
-    pruned = stage(kept.join(tied, "rule_tokens", "left_anti"), "url-rules-pruned")
+    ranked = mined.select("tokens").distinct().withColumn("token", F.explode("tokens")).join(often.select("token"), "token")
+    own = ranked.groupBy("tokens").agg(F.array_sort(F.collect_set("token")).alias("own"))
+    baskets = stage(mined.join(own, "tokens").select("own", "low"), "url-baskets")
+    widest = baskets.agg(F.max(F.size("own"))).first()[0] or 0
+    pruned = stage((_listed_rules if widest <= FP_TOKENS else _grown_rules)(baskets, size, least), "url-rules-pruned")
     unseen = rows.where("held_out").groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("low").alias("low"))
     proof = met(unseen.select("tokens"), pruned).join(unseen, "tokens").groupBy("rule_tokens").agg(
         F.sum("n").alias("held_out_rows"), (F.sum("low") / F.sum("n")).alias("held_out_precision"))

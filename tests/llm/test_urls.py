@@ -99,6 +99,39 @@ def test_rules_equal_counting(spark):
     assert report.rules == len(got) and report.precision > 0.7
 
 
+@pytest.mark.parametrize("listed", [14, 0])
+def test_urls_of_many_frequent_tokens_lose_no_rule(spark, monkeypatch, listed):
+    """Nine tokens go with low quality as well, but only ``y`` and ``z`` together say it surely."""
+    import random
+
+    monkeypatch.setattr(urls, "FP_TOKENS", listed)
+    rng = random.Random(5)
+    rows = []
+    for k in range(1200):
+        low = k % 4 == 0
+        t = {x for x in "abcdefghi" if rng.random() < (0.95 if low else 0.75)} | {f"u{rng.randrange(400)}"}
+        rows.append((t | ({"y", "z"} if low else {"y"} if k % 2 else {"z"} if rng.random() < 0.97 else {"y", "z"}), low))
+    got = {tuple(r.rule_tokens): (round(r.confidence, 9), r.held_out_rows, round(r.held_out_precision, 9)) for r in urls.mine(labelled(spark, rows)).collect()}
+    assert ("y", "z") in got and got == rules_by_hand(spark, rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_grown_rules_equal_counting(spark, monkeypatch, seed):
+    """Tokens that always come together, tokens in every URL of good quality, and rules without an exception."""
+    import random
+
+    monkeypatch.setattr(urls, "FP_TOKENS", 0)
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(700):
+        t = {x for x in "abcdef" if rng.random() < 0.5} | {f"u{rng.randrange(300)}"}
+        t |= ({"A", "B"} if "a" in t else set()) | ({"s"} if {"c", "d"} <= t else set())
+        low = {"a", "b"} <= t or {"c", "d", "e"} <= t and rng.random() < 0.8 or rng.random() < 0.05
+        rows.append((t if low else t | {"g"}, low))
+    got = {tuple(r.rule_tokens): (round(r.confidence, 9), r.held_out_rows, round(r.held_out_precision, 9)) for r in urls.mine(labelled(spark, rows)).collect()}
+    assert got == rules_by_hand(spark, rows) and {("A", "b"), ("B", "b"), ("a", "b")} <= set(got)
+
+
 def test_labels_that_say_nothing_make_no_rules(spark):
     import random
 

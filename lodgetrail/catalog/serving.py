@@ -168,10 +168,9 @@ def q11(spark, sf):
         p: F.when(F.col("id") % 4 == 0, F.col(p) + 500).otherwise(F.col(p)) for p in ("price_monthly_min", "price_monthly_max")})
     site = Site(adapters.SITE, adapters.CDN)
     store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
-    held = F.col("id") % 10 != 7
     details = adapters.landed_details(spark, sf)
-    late = details.join(cat.filter(~held).select("url"), "url", "left_semi")
-    early = details.join(cat.filter(held).select("url"), "url", "left_semi")
+    seven = F.col("url").rlike(r"/listing-\d*7$")
+    late, early = details.filter(seven), details.filter(~seven)
     run_scan(store, site, adapters.landed_lists(spark, sf).transform(_without_sevens), "2024-02-01 00:00:00",
              detail_landing=early)
     run_scan(store, site, stage(adapters.list_pages(raised), "list-pages"), "2024-02-01 12:00:00", detail_landing=late)

@@ -44,8 +44,12 @@ def plain(text: Column) -> Column:
 
 def tokens(html: Column) -> Column:
     """Tags and texts of a visible page, in order, as structs of ``kind``, ``name``, ``block`` and ``raw``."""
-    def mark(raw: Column) -> Column:
-        name = F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    def name_of(raw: Column) -> Column:
+        tag = F.when(F.startswith(raw, F.lit("<")), F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)))
+        return F.struct(F.coalesce(tag, F.lit("")).alias("name"), raw.alias("raw"))
+
+    def mark(named: Column) -> Column:
+        name, raw = named["name"], named["raw"]
         closes = F.startswith(raw, F.lit("</"))
         kind = (
             F.when(F.startswith(raw, F.lit("<!")), _NONE).when(name == "", _TEXT)
@@ -54,7 +58,8 @@ def tokens(html: Column) -> Column:
             .otherwise(F.when(closes, _CLOSE).otherwise(_OPEN)))
         return F.struct(kind.alias("kind"), name.alias("name"), name.isin(*BLOCK).alias("block"), raw.alias("raw"))
 
-    return F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), mark)
+    # A lambda's repeated parts are not shared, so names are read in a step of their own.
+    return F.transform(F.transform(F.regexp_extract_all(html, F.lit(_TOKEN), F.lit(0)), name_of), mark)
 
 
 def _moved(depth: Column, paragraph: Column, token: Column, within: bool = False) -> tuple[Column, Column]:
@@ -80,6 +85,13 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def _after(acc: Column, token: Column, then: Callable[[Column, Column], Column], within: bool = False) -> Column:
+    """``then`` of the depth and the open paragraph after a token, worked out once."""
+    depth, paragraph = _moved(acc["depth"], acc["paragraph"], token, within)
+    both = F.struct(depth.cast("int").alias("depth"), paragraph.cast("int").alias("paragraph"))
+    return _once(both, lambda m: then(m["depth"], m["paragraph"]))
+
+
 def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -97,12 +109,13 @@ def siblings_text(after: Column, stop: tuple[str, ...], separator: str = "\n") -
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("paragraph"), F.lit(False).alias("over"), F.lit("").alias("text"))
 
     def step(acc: Column, token: Column) -> Column:
-        depth, paragraph = _moved(acc["depth"], acc["paragraph"], token)
+        return F.when(acc["over"], acc).otherwise(_after(acc, token, lambda depth, paragraph: moved(acc, token, depth, paragraph)))
+
+    def moved(acc: Column, token: Column, depth: Column, paragraph: Column) -> Column:
         top = F.when(token["block"] & (acc["paragraph"] > 0), acc["paragraph"] - 1).otherwise(acc["depth"])
         over = (depth < 0) | ((token["kind"] == _OPEN) & (top == 0) & token["name"].isin(*stop))
         text = F.when((token["kind"] == _TEXT) & (acc["depth"] > 0), _appended(acc["text"], token["raw"], separator)).otherwise(acc["text"])
-        return F.when(acc["over"], acc).otherwise(F.struct(
-            depth.cast("int").alias("depth"), paragraph.cast("int").alias("paragraph"), over.alias("over"), text.alias("text")))
+        return F.struct(depth.alias("depth"), paragraph.alias("paragraph"), over.alias("over"), text.alias("text"))
 
     return F.aggregate(tokens(after), start, step, lambda acc: F.nullif(acc["text"], F.lit("")))
 
@@ -116,8 +129,11 @@ def next_text(inside: Column) -> Column:
     start = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("paragraph"), F.lit(0).alias("phase"), F.lit("").alias("text"), F.lit("").alias("line"))
 
     def step(acc: Column, token: Column) -> Column:
+        return F.when(acc["phase"] >= 4, acc).otherwise(
+            _after(acc, token, lambda depth, paragraph: moved(acc, token, depth, paragraph), within=True))
+
+    def moved(acc: Column, token: Column, depth: Column, paragraph: Column) -> Column:
         # Phases: 0 in the label's element, 1 behind it, 2 in the next element, 3 behind that, 4 out of the parent.
-        depth, paragraph = _moved(acc["depth"], acc["paragraph"], token, within=True)
         opens, is_text = token["kind"].isin(_OPEN, _P_OPEN), token["kind"] == _TEXT
         phase = (
             F.when(depth < 0, 4)
@@ -127,8 +143,7 @@ def next_text(inside: Column) -> Column:
         text = F.when(is_text & (acc["phase"] == 2), F.concat(acc["text"], plain(token["raw"]))).otherwise(acc["text"])
         own = F.regexp_extract(plain(token["raw"]), r"([^\s][^\n]*?)\s*(?:\n|$)", 1)
         line = F.when(is_text & (acc["line"] == ""), own).otherwise(acc["line"])
-        values = (depth.cast("int"), paragraph.cast("int"), phase.cast("int"), text, line)
-        return F.when(acc["phase"] >= 4, acc).otherwise(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+        return F.struct(*[v.alias(n) for v, n in zip((depth, paragraph, phase.cast("int"), text, line), names)])
 
     return F.aggregate(tokens(inside), start, step, lambda acc: F.coalesce(
         F.nullif(_stripped(acc["text"]), F.lit("")), F.nullif(acc["line"], F.lit(""))))
@@ -139,20 +154,25 @@ def next_element(after: Column, name: str) -> Column:
 
     ``after`` is what follows an element's closing tag, without comments.
     """
-    numbered = F.transform(tokens(after), lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["block"].alias("block"), i.alias("i")))
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("paragraph"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
     def step(acc: Column, token: Column) -> Column:
-        depth, paragraph = _moved(acc["depth"], acc["paragraph"], token)
+        return F.when(acc["last"] >= 0, acc).otherwise(_after(acc, token, lambda depth, paragraph: moved(acc, token, depth, paragraph)))
+
+    def moved(acc: Column, token: Column, depth: Column, paragraph: Column) -> Column:
         top = F.when(token["block"] & (acc["paragraph"] > 0), acc["paragraph"] - 1).otherwise(acc["depth"])
         first = F.when((acc["first"] < 0) & (token["kind"] == _OPEN) & (top == 0) & (token["name"] == name), token["i"]).otherwise(acc["first"])
         last = F.when((depth < 0) | ((acc["first"] >= 0) & (depth == 0)), token["i"]).otherwise(acc["last"])
-        values = (depth.cast("int"), paragraph.cast("int"), first.cast("int"), last.cast("int"))
-        return F.when(acc["last"] >= 0, acc).otherwise(F.struct(*[v.alias(n) for v, n in zip(values, ("depth", "paragraph", "first", "last"))]))
+        return F.struct(depth.alias("depth"), paragraph.alias("paragraph"), first.alias("first"), last.alias("last"))
+
+    def find(parts: Column) -> Column:
+        numbered = F.transform(parts, lambda t, i: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["block"].alias("block"), i.alias("i")))
+        # Texts and tags without a depth move nothing.
+        moving = F.filter(numbered, lambda t: ~t["kind"].isin(_TEXT, _NONE))
+        return _once(F.aggregate(moving, start, step), lambda found: cut(parts, found))
 
-    def cut(found: Column) -> Column:
-        parts = F.regexp_extract_all(after, F.lit(_TOKEN), F.lit(0))
+    def cut(parts: Column, found: Column) -> Column:
         length = F.when(found["last"] >= 0, found["last"] - found["first"] + 1).otherwise(2**31 - 1)
-        return F.when(found["first"] >= 0, F.array_join(F.slice(parts, found["first"] + 1, length), ""))
+        return F.when(found["first"] >= 0, F.array_join(F.transform(F.slice(parts, found["first"] + 1, length), lambda t: t["raw"]), ""))
 
-    return _once(F.aggregate(numbered, start, step), cut)
+    return _once(tokens(after), find)

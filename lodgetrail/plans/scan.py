@@ -55,6 +55,8 @@ def collect_listings(
 def full_batch(raw: DataFrame, detail_landing: DataFrame | None, site: Site) -> DataFrame:
     """Raw rows with their detail columns, in the merged schema, checked row by row."""
     if detail_landing is not None:
+        # Reading a page costs far more than moving it: pieces by size, one or two a core, would leave cores idle.
+        detail_landing = detail_landing.repartition(3 * detail_landing.sparkSession.sparkContext.defaultParallelism)
         raw = collect.attach_details(raw, detail_pages.read_details(detail_landing, site.cdn_url))
     return merge.invalid_rows(schemas.conform(raw, schemas.FULL_SCHEMA))
 

@@ -201,3 +201,14 @@ def test_indexes_belong_to_a_version(spark, tmp_path):
     assert sorted(r.id for r in page) == [5, 6, 7, 8, 9] and {r.thumbnail for r in page} == {"x"}
     after = serving.indexed_page(index, images, True, "k", limit=5, after=55).collect()
     assert sorted(r.id for r in after) == [0, 1, 2, 3, 4]
+
+
+def test_detail_pages_are_dealt_over_all_cores(spark):
+    """Pages read in one file are parsed in more than one task, each page once, repeated ones included."""
+    from lodgetrail.plans.scan import Site, full_batch
+    from lodgetrail import schemas
+
+    raw = spark.createDataFrame([], schemas.RAW_SCHEMA)
+    pages = spark.createDataFrame([(f"https://x.example/en/{k % 5}", "<p>Listing no : 7</p>") for k in range(10)], "url string, html string").coalesce(1)
+    plan = full_batch(raw, pages, Site("https://x.example", "https://cdn.example"))._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {3 * spark.sparkContext.defaultParallelism}, true" in plan

@@ -28,11 +28,18 @@ def to_batch(landed):
     return merge.invalid_rows(schemas.conform(rows, schemas.FULL_SCHEMA))
 
 
+def by_part(rows, part):
+    """The rows as a table with a folder per ``part``: landing one part doesn't read the others."""
+    path = new_work_dir(rows.sparkSession, f"by-{part}")
+    rows.write.partitionBy(part).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 @adapters.remembered
 def ingest_weeks(spark, sf) -> TrackingStore:
     """Weeks of events land one after the other; each is one micro-batch and one scan."""
     week = F.floor((F.unix_seconds("ts") - F.unix_seconds(clock.instant("2024-01-01 00:00:00"))) / _WEEK)
-    obs = adapters.observations(spark, sf).withColumn("week", week.cast("int"))
+    obs = by_part(adapters.observations(spark, sf).select("event_id", "ts", "slug", "price", week.cast("int").alias("week")), "week")
     landing, checkpoint = new_work_dir(spark, "landing"), new_work_dir(spark, "ingest")
     store = TrackingStore(spark, new_work_dir(spark, "store"), buckets=8)
     for n in sorted(r.week for r in obs.select("week").distinct().collect()):  # a row per week
@@ -82,6 +89,7 @@ def t3(spark, sf):
 def t4(spark, sf):
     """Two weeks of requests at a time; what one micro-batch admitted counts in the next."""
     requests = adapters.requests(spark, sf).drop("event_type").withColumn("part", F.floor(F.unix_seconds("ts") / (2 * _WEEK)).cast("int"))
+    requests = by_part(requests, "part")
     landing, checkpoint, root = (new_work_dir(spark, f"quota-{x}") for x in ("landing", "checkpoint", "state"))
     for n in sorted(r.part for r in requests.select("part").distinct().collect()):  # a row per fortnight
         requests.filter(F.col("part") == n).drop("part").write.mode("append").parquet(landing)

@@ -152,3 +152,14 @@ def test_work_folder_must_be_shared_off_one_machine():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         new_work_dir(Session(), "x")
+
+
+def test_landing_a_part_reads_its_folder_only(spark):
+    from lodgetrail.catalog import streams
+
+    rows = spark.createDataFrame([(k, k % 4 if k else None) for k in range(12)], "id int, week int").repartition(3)
+    parts = streams.by_part(rows, "week")
+    assert sorted(map(tuple, parts.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    one = parts.filter("week = 2")
+    assert sorted(r.id for r in one.collect()) == [2, 6, 10]
+    assert "PartitionFilters: [isnotnull(week" in one._jdf.queryExecution().executedPlan().toString()

@@ -1,8 +1,11 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from helpers_llm import components
 
 from lodgetrail.llm import embeddings
+from lodgetrail.session import work_root
 
 NAN, INF = float("nan"), float("inf")
 
@@ -73,3 +76,50 @@ def test_stopping_early_loses_no_pair():
     axes, _ = np.linalg.qr(rng.normal(size=(64, 64)))
     i, j = embeddings._linked(a, b, axes, 0.9)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.9))))
+
+
+def on_disk(spark):
+    """The files Spark has in its work folder and its own folders, with their sizes."""
+    own = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f: f.stat().st_size for top in (work_root(spark), *own) for f in Path(top).rglob("*") if f.is_file()}
+
+
+def test_disk_grows_with_the_vectors_not_with_their_pairs(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    rng, used = np.random.default_rng(8), {}
+    for n in (1000, 4000):
+        df = table(spark, rng.normal(size=(n, 64)).astype(np.float32).tolist(), "float")
+        df.count()
+        before = on_disk(spark)
+        assert len(embeddings.near_duplicates(df).collect()) == n
+        used[n] = sum(size for f, size in on_disk(spark).items() if f not in before)
+    assert used[4000] < 5 * used[1000]
+    assert used[4000] < 4 * 4000 * 64 * 4
+
+
+@pytest.mark.parametrize("parts", [1, 7, 64])
+def test_parts_far_apart_lose_no_pair(monkeypatch, parts):
+    monkeypatch.setattr(embeddings, "_ROWS", parts)
+    rng = np.random.default_rng(parts)
+    a = embeddings.unit(np.repeat(rng.normal(size=(5, 64)), 30, axis=0) + rng.normal(size=(150, 64)) * 0.3)
+    b = embeddings.unit(a[::-1] + rng.normal(size=(150, 64)) * 0.03)
+    axes, _ = np.linalg.qr(np.linalg.eigh(a.T @ a)[1][:, ::-1])
+    order = np.argsort(a @ axes[:, 0]), np.argsort(b @ axes[:, 0])
+    a, b = a[order[0]], b[order[1]]
+    one, other = (embeddings.Tile(np.arange(150), np.ones(150, dtype=int), x, axes) for x in (a, b))
+    assert parts == 64 or not embeddings._near(one, other, 0.9).all()
+    i, j = embeddings._pairs(one, other, 0.9)
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(a @ b.T >= 0.9))))
+
+
+def test_copies_and_links_across_batches_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 4)
+    monkeypatch.setattr(embeddings, "BLOCK_TILES", 2)
+    with embeddings._setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "5"):
+        vectors = clusters(11, 40)
+        check(spark, vectors + [vectors[3]] * 40 + [[2 * x for x in vectors[9]]] * 9)
+
+
+def test_merged_findings():
+    ids, links, roots = embeddings._merged([([5, 7], [1, 1], [5, 5]), ([7, 9], [2, 2], [7, 7]), ([1, 3], [1, 1], [1, 1])])
+    assert (ids.tolist(), links.tolist(), roots.tolist()) == ([1, 3, 5, 7, 9], [1, 1, 1, 3, 2], [1, 1, 5, 5, 5])

@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
 
     read = stage(rows.mapInArrow(classify, "_key long, _class binary"), "classes-of-rows")
     classes = stage(read.where("_class IS NOT NULL").groupBy("_class").agg(F.min("_key").alias("id"), F.count("*").alias("n")), "vector-classes")
-    different = classes.count()
+    different, usable = classes.agg(F.count("*"), F.sum("n")).first()
     if not different:
         return read.select(F.col("_key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_key").alias("component_id"), F.lit(True).alias("kept"))
     axes = _axes(rows.where("_vector IS NOT NULL"), width)
@@ -269,10 +269,12 @@ def near_duplicates(df: DataFrame, threshold: float = 0.9, key: str = "vec_id",
         if ids:
             yield block()
 
-    # Blocks of tiles along the first axis; equal vectors are neighbours. So many files that each core has a part of the pairs.
+    # Blocks of tiles along the first axis; equal vectors are neighbours. So many files that each core has a part of the pairs;
+    # what is sorted at once follows the rows, of which copies go.
     led = rows.where("_vector IS NOT NULL").mapInArrow(lead, "_class binary, id long, n long, vector binary, lead double")
     files = max(-(-different * width * item // _FILE_BYTES), min(2 * spark.sparkContext.defaultParallelism, -(-different // tile)))
-    ordered = led.repartitionByRange(files, "lead", "_class").sortWithinPartitions("lead", "_class")
+    parts = max(files, -(-usable * width * item // _FILE_BYTES))
+    ordered = led.repartitionByRange(parts, "lead", "_class").sortWithinPartitions("lead", "_class").coalesce(files)
     packed = ordered.mapInArrow(pack, "ids binary, weights binary, vectors binary")
     blocks = stage(packed.withColumn("block", F.monotonically_increasing_id()), "tiles")
 
